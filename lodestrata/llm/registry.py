@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import line_dedup
+from lodestrata.llm import decontaminate, line_dedup, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
+    "op5_decontaminate": decontaminate.SQL,
 }
