@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import decontaminate, line_dedup, simhash
+from lodestrata.llm import decontaminate, line_dedup, mixing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op8_quality_rules": quality.op8_quality_rules,
     "op9_simhash": simhash.op9_simhash,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
