@@ -15,6 +15,8 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters outside these ranges may have a lower-case form that lower() would apply besides A-Z.
 _MAY_FOLD = r"[^\x00-\xBF\xDF-\xFF\x{2000}-\x{20CF}\x{3000}-\x{9FFF}\x{AC00}-\x{D7A3}]"
+#: The characters beyond ASCII whose lower-case form has ASCII characters.
+_TO_ASCII = r"[\x{130}\x{212A}]"
 
 
 def pick(df: DataFrame, **names: str) -> DataFrame:
@@ -38,9 +40,29 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
+def may_fold(text: Column) -> Column:
+    """False if lower() changes nothing but A-Z in text. The cheaper pattern settles most texts."""
+    return text.rlike(r"[^\x00-\xBF]") & text.rlike(_MAY_FOLD)
+
+
+def translated(text: Column) -> Column:
+    """A-Z lower-cased and nothing else, character by character."""
+    return F.translate(text, _UPPER, _LOWER)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else; lower() does it where no other letter can be touched."""
-    return F.when(text.rlike(_MAY_FOLD), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
+    return F.when(may_fold(text), translated(text)).otherwise(F.lower(text))
+
+
+def ascii_lower_key(text: Column) -> Column:
+    """A string that two texts share exactly if ascii_lower() of them is equal, and that is cheaper to make.
+
+    It is lower() followed by the text's characters beyond ASCII as they were. Where none of these turns
+    into ASCII, they stand in the same places of both texts, so the two parts tell all.
+    """
+    beyond = F.concat(F.lower(text), F.lit("\n"), F.regexp_replace(text, r"[\x00-\x7F]+", ""))
+    return F.when(~text.rlike(r"[^\x00-\x7F]"), F.lower(text)).when(text.rlike(_TO_ASCII), F.concat(F.lit("\n"), translated(text))).otherwise(beyond)
 
 
 def words(text: Column, separators: str = SPACE) -> Column:

@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import ascii_lower, numbered, pick, stored, table, words
+from lodestrata.llm.common import ascii_lower, may_fold, numbered, pick, stored, table, translated, words
 
 #: What isn't a digit, a letter a-z or a non-ASCII character.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+#: The same, before A-Z is lower-cased.
+RAW_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Words in a window, and in the shingles that make up its set.
 WINDOW, SHINGLE = 13, 5
 #: The prefixes are sent to every executor if they are no larger than this; beyond, they are shuffled.
@@ -40,15 +42,18 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
 def prefixes(found: DataFrame) -> DataFrame:
     """size, shingle, at, window, items: each distinct window with its rarest shingle and the place of that in the window.
 
+    Shingles are hashes of words in lower(), which is cheaper than the lower-casing of A-Z alone and
+    leaves no match out; the windows are compared exactly.
+
     Rarity is the number of windows that hold a shingle; ties go to the smaller hash. A window of fewer
     words than a shingle is its own shingle. A shingle that a window repeats counts where it comes first.
     """
     kinds = found.groupBy("window").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"))
     size = F.least(F.size("window"), F.lit(SHINGLE)).alias("size")
-    each = kinds.select("window", size, F.explode(F.sequence(F.lit(0), F.size("window") - F.least(F.size("window"), F.lit(SHINGLE)))).alias("at"))
+    each = kinds.select("window", F.transform("window", lambda x: F.lower(x)).alias("low"), size, F.explode(F.sequence(F.lit(0), F.size("window") - F.least(F.size("window"), F.lit(SHINGLE)))).alias("at"))
     value = F.lit(None).cast("long")
     for k in range(1, SHINGLE + 1):
-        value = F.when(F.col("size") == k, _shingle("window", F.col("at"), k)).otherwise(value)
+        value = F.when(F.col("size") == k, _shingle("low", F.col("at"), k)).otherwise(value)
     each = each.withColumn("shingle", value)
     often = each.select("size", "shingle", "window").distinct().groupBy("size", "shingle").agg(F.count(F.lit(1)).alias("n"))
     best = each.join(often, ["size", "shingle"]).groupBy("window").agg(F.min(F.struct("n", "shingle", "at", "size")).alias("b"))
@@ -66,22 +71,26 @@ def contamination(docs: DataFrame, items: DataFrame, broadcast_bytes: int = BROA
     weight = index.agg(F.sum(F.length(F.array_join("window", " ")) * 4 + F.length(F.array_join("items", " ")) + 64)).first()[0] or 0
     small = weight <= broadcast_bytes
 
-    split = docs.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), _words(F.col("text")).alias("w"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    split = docs.select("id", F.xxhash64(text).alias("mark"), words(F.lower(text), SEPARATORS).alias("w"), F.when(may_fold(text), words(text, RAW_SEPARATORS)).alias("raw"))
     # One more place than words: its row stands for the text itself, whether anything is found or not.
-    places = split.select("id", "mark", "w", F.posexplode(F.array_append("w", F.lit(None).cast("string"))).alias("pos", "word")).withColumn("n", F.size("w"))
+    places = split.select("id", "mark", "w", "raw", F.posexplode(F.array_append("w", F.lit(None).cast("string"))).alias("pos", "word")).withColumn("n", F.size("w"))
     found = None
     for k in sizes or [SHINGLE]:
         own = index.where(F.col("size") == k).select("shingle", "at", "window", "items")
         keyed = places.withColumn("key", F.when(F.col("pos") + k <= F.col("n"), _shingle("w", F.col("pos"), k)))
+        # Where lower() may have changed more than A-Z, the text's words as they were are compared.
+        own_words = lambda array, pos: F.slice(array, F.col(pos) - F.col("at") + 1, F.size("window"))
+        same = lambda pos: F.when(F.col("raw").isNull(), own_words("w", pos) == F.col("window")).otherwise(translated(F.array_join(own_words("raw", pos), " ")) == F.array_join("window", " "))  # noqa: E731,B023
         fits = (F.col("pos") >= F.col("at")) & (F.col("pos") - F.col("at") + F.size("window") <= F.col("n"))
         if small:
-            hit = keyed.join(F.broadcast(own), (F.col("key") == F.col("shingle")) & fits & (F.slice("w", F.col("pos") - F.col("at") + 1, F.size("window")) == F.col("window")), "left")
+            hit = keyed.join(F.broadcast(own), (F.col("key") == F.col("shingle")) & fits & same("pos"), "left")
         else:
             # Too many prefixes for every executor: places and prefixes meet by key, and the windows are compared where the texts are.
             near = keyed.where("key is not null").select("id", "mark", "pos", "n", "key").join(own, (F.col("key") == F.col("shingle")) & fits)
             near = near.select(F.col("id").alias("i"), F.col("mark").alias("m"), F.col("pos").alias("p"), "at", "window", "items").distinct()
-            joined = split.select("id", "mark", "w").distinct().join(near, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")))
-            true = joined.where(F.slice("w", F.col("p") - F.col("at") + 1, F.size("window")) == F.col("window")).select("id", "mark", F.col("p").alias("pos"), F.size("w").alias("n"), "at", "window", "items")
+            joined = split.dropDuplicates(["id", "mark"]).join(near, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")))
+            true = joined.where(same("p")).select("id", "mark", F.col("p").alias("pos"), F.size("w").alias("n"), "at", "window", "items")
             none = own.select("at", "window", "items").schema
             texts = places.where(F.col("pos") == F.col("n")).select("id", "mark", "pos", "n", *[F.lit(None).cast(f.dataType).alias(f.name) for f in none])
             hit = true.unionByName(texts)
