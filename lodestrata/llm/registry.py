@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import decontaminate, line_dedup, mixing, quality, simhash
+from lodestrata.llm import decontaminate, line_dedup, mixing, quality, simhash, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op4_warc": warc.op4_warc,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op7_url_filter": url_filter.op7_url_filter,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_simhash": simhash.op9_simhash,
     "op10_mixing": mixing.op10_mixing,
@@ -18,5 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
+    "op4_warc": warc.SQL,
     "op5_decontaminate": decontaminate.SQL,
+    "op7_url_filter": url_filter.SQL,
 }
