@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import decontaminate, line_dedup, mixing, quality, simhash, url_filter, warc
+from lodestrata.llm import decontaminate, lattice, line_dedup, mixing, quality, simhash, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op4_warc": warc.op4_warc,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_lattice_scores": lattice.op6_lattice_scores,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_simhash": simhash.op9_simhash,
