@@ -23,7 +23,7 @@ SHARE, STEPS = 0.75, 3
 #: Groups with fewer texts than this use their language's estimate, or else that of all texts.
 MIN_GROUP = 50
 #: Standard deviations below which a statistic doesn't count as narrower, by feature: a source whose texts all agree must not reject small departures.
-FLOORS = (0.12, 0.08, 0.10, 0.12)
+FLOORS = (0.12, 0.08, 0.15, 0.15)
 #: Median and rejection bound of the squared distance: quantiles 0.5 and 0.99999 of chi-square with 4 degrees of freedom.
 CHI_MEDIAN, CHI_BOUND = 3.3567, 28.4733
 FEATURES = ("f0", "f1", "f2", "f3")
@@ -87,47 +87,43 @@ def features() -> list[Column]:
     ]
 
 
-def _distance(mean: list[Column], cov: list[list[Column]], x: list[Column]) -> Column:
-    """The squared Mahalanobis distance, by the Cholesky factor of cov, written out."""
-    p = len(x)
-    low: list[list[Column]] = [[F.lit(0.0)] * p for _ in range(p)]
-    z: list[Column] = []
+def _whitened(fits: DataFrame) -> DataFrame:
+    """fits with w00, w10 ...: the inverse of the Cholesky factor of the covariances, whose variances have the floors added so that it exists.
+
+    Every element is a column of its own, so that none is written out again in the next.
+    """
+    p = len(FEATURES)
+    minus = lambda terms, start: reduce(lambda a, b: a - b, terms, start)
+    for i in range(p):
+        for j in range(i + 1):
+            left = minus([F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)], F.col(f"s{i}{j}") + F.lit(FLOORS[i] ** 2 if i == j else 0.0))
+            fits = fits.withColumn(f"l{i}{j}", F.sqrt(F.greatest(left, F.lit(1e-12))) if i == j else left / F.col(f"l{j}{j}"))
     for i in range(p):
         for j in range(i + 1):
-            left = reduce(lambda a, b: a - b, [low[i][k] * low[j][k] for k in range(j)], cov[i][j])
-            low[i][j] = F.sqrt(F.greatest(left, F.lit(1e-12))) if i == j else left / low[j][j]
-        z.append(reduce(lambda a, b: a - b, [low[i][k] * z[k] for k in range(i)], x[i] - mean[i]) / low[i][i])
-    return reduce(lambda a, b: a + b, [v * v for v in z])
+            fits = fits.withColumn(f"w{i}{j}", (F.lit(1.0) if i == j else minus([F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)], F.lit(0.0))) / F.col(f"l{i}{i}"))
+    return fits.drop(*[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
 
 
-def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Number, means and covariances of the features by group."""
+def _distance() -> Column:
+    """The squared Mahalanobis distance of the features from the estimate beside them."""
     p = range(len(FEATURES))
-    means = [F.avg(FEATURES[i]).alias(f"m{i}") for i in p]
-    covs = [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"s{i}{j}") for i in p for j in p if j <= i]
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *means, *covs)
+    parts = [reduce(lambda a, b: a + b, [F.col(f"w{i}{j}") * (F.col(FEATURES[j]) - F.col(f"m{j}")) for j in p if j <= i]) for i in p]
+    return reduce(lambda a, b: a + b, [F.pow(x, F.lit(2.0)) for x in parts])
 
 
-def _with_distance(rows: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with d2, the squared distance from their group's estimate."""
-    mine = fits.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in fits.columns if c not in keys])
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    joined = rows.join(mine, on)
-    p = range(len(FEATURES))
-    floor = lambda i: F.lit(FLOORS[i] ** 2)
-    # The floor is added to the variance, so that the matrix stays positive.
-    cov = [[F.col(f"s{max(i, j)}{min(i, j)}") + (floor(i) if i == j else F.lit(0.0)) for j in p] for i in p]
-    return joined.withColumn("d2", _distance([F.col(f"m{i}") for i in p], cov, [F.col(c) for c in FEATURES])).select(*rows.columns, "d2")
+#: A group: level 0 is a language and source, 1 a language, 2 all texts.
+KEYS = ("level", "g_lang", "g_source")
 
 
-def _small(fits: DataFrame) -> DataFrame:
-    """fits, written down so that a step starts from files; sent to every executor if its groups are few."""
-    done = stored(fits, "estimates")
-    return F.broadcast(done) if done.count() <= BROADCAST_GROUPS else done
+def _beside(rows: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
+    """rows joined with what groups have for their KEYS; sent to every executor if the groups are few."""
+    mine = groups.select(*[F.col(k).alias(f"_{k}") for k in KEYS], *[c for c in groups.columns if c not in KEYS])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEYS])
+    return rows.join(F.broadcast(mine) if few else mine, on).drop(*[f"_{k}" for k in KEYS])
 
 
-def mcd(rows: DataFrame, keys: list[str], share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """By group: n, means, covariances and scale of the minimum covariance determinant estimate.
+def mcd(rows: DataFrame, few: bool, share: float = SHARE, steps: int = STEPS) -> DataFrame:
+    """By KEYS: n, means, whitening and scale of the minimum covariance determinant estimate of the features.
 
     The first estimate is the median of each feature with its spread around it; every step then takes
     the share of each group that is nearest to the present estimate, and estimates anew from these.
@@ -135,25 +131,20 @@ def mcd(rows: DataFrame, keys: list[str], share: float = SHARE, steps: int = STE
     never under 1, so a group that is tighter than the floors rejects no more.
     """
     p = range(len(FEATURES))
-    middles = [F.percentile_approx(FEATURES[i], F.lit(0.5), F.lit(2000)).alias(f"m{i}") for i in p]
-    spreads = [F.percentile_approx(FEATURES[i], F.array(F.lit(0.25), F.lit(0.75)), F.lit(2000)).alias(f"q{i}") for i in p]
-    first = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *middles, *spreads)
+    quarter = lambda i, q: F.percentile_approx(FEATURES[i], F.lit(q), F.lit(2000))
+    first = rows.groupBy(*KEYS).agg(*[quarter(i, 0.5).alias(f"m{i}") for i in p], *[F.pow((quarter(i, 0.75) - quarter(i, 0.25)) / 1.349, F.lit(2.0)).alias(f"s{i}{i}") for i in p])
     for i in p:
-        for j in p:
-            if j <= i:
-                first = first.withColumn(f"s{i}{j}", F.pow((F.get(F.col(f"q{i}"), F.lit(1)) - F.get(F.col(f"q{i}"), F.lit(0))) / 1.349, F.lit(2.0)) if i == j else F.lit(0.0))
-    fits = _small(first.drop(*[f"q{i}" for i in p]))
+        for j in range(i):
+            first = first.withColumn(f"s{i}{j}", F.lit(0.0))
+    fits = stored(_whitened(first), "estimates")
+    moments = [F.avg(FEATURES[i]).alias(f"m{i}") for i in p] + [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"s{i}{j}") for i in p for j in p if j <= i]
     for _ in range(steps):
-        near = _with_distance(rows, fits, keys)
-        cut = _small(near.groupBy(*keys).agg(F.percentile_approx("d2", F.lit(share), F.lit(2000)).alias("cut")))
-        cut = cut.select(*[F.col(k).alias(f"_{k}") for k in keys], "cut")
-        on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-        kept = near.join(F.broadcast(cut) if cut.count() <= BROADCAST_GROUPS else cut, on).where("d2 <= cut")
-        fits = _small(_moments(kept.select(*rows.columns), keys))
-    scale = _with_distance(rows, fits, keys).groupBy(*keys).agg(F.percentile_approx("d2", F.lit(0.5), F.lit(2000)).alias("mid"), F.count(F.lit(1)).alias("all"))
-    scale = scale.select(*[F.col(k).alias(f"_{k}") for k in keys], F.greatest(F.col("mid") / CHI_MEDIAN, F.lit(1.0)).alias("scale"), "all")
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    return fits.join(scale, on).drop("n", *[f"_{k}" for k in keys]).withColumnRenamed("all", "n")
+        near = _beside(rows, fits, few).withColumn("d2", _distance()).select(*KEYS, *FEATURES, "d2")
+        cut = stored(near.groupBy(*KEYS).agg(F.percentile_approx("d2", F.lit(share), F.lit(2000)).alias("cut")), "cuts")
+        kept = _beside(near, cut, few).where("d2 <= cut")
+        fits = stored(_whitened(kept.groupBy(*KEYS).agg(*moments)), "estimates")
+    mid = _beside(rows, fits, few).groupBy(*KEYS).agg(F.percentile_approx(_distance(), F.lit(0.5), F.lit(2000)).alias("mid"), F.count(F.lit(1)).alias("n"))
+    return _beside(fits, mid.select(*KEYS, "n", F.greatest(F.col("mid") / CHI_MEDIAN, F.lit(1.0)).alias("scale")), few)
 
 
 def judge(stats: DataFrame, bound: float = CHI_BOUND, min_group: int = MIN_GROUP) -> DataFrame:
@@ -163,32 +154,37 @@ def judge(stats: DataFrame, bound: float = CHI_BOUND, min_group: int = MIN_GROUP
     language and source, or that of its language where the group has fewer than min_group such texts,
     or that of all texts where the language has too few as well, or none: then it is kept.
     """
-    x = features()
-    judged = stats.withColumn("base_failed", base_failed())
-    full = stored(judged.withColumns(dict(zip(FEATURES, x, strict=True))), "statistics")
-    good = full.where(~F.col("base_failed")).select("lang", "source", F.lit(0).alias("every"), *FEATURES)
-    sizes = good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    by_lang = sizes.groupBy("lang").agg(F.sum("n").alias("n_lang")).withColumnRenamed("lang", "_l")
-    level = sizes.join(by_lang, F.col("lang").eqNullSafe(F.col("_l"))).select("lang", "source", F.when(F.col("n") >= min_group, 0).when(F.col("n_lang") >= min_group, 1).otherwise(2).alias("level"))
-    every = [(["lang", "source"], mcd(good.select("lang", "source", *FEATURES), ["lang", "source"])), (["lang"], mcd(good.select("lang", *FEATURES), ["lang"])), (["every"], mcd(good.select("every", *FEATURES), ["every"]))]
-
-    chosen = level.withColumn("every", F.lit(0))
-    parts = []
-    for no, (keys, fits) in enumerate(every):
-        enough = fits.where(F.col("n") >= min_group) if no == 2 else fits
-        mine = enough.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in fits.columns if c not in (*keys, "n")])
-        on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-        parts.append(chosen.where(F.col("level") == no).join(mine, on).drop("every", "level", *[f"_{k}" for k in keys]))
-    table_ = _small(reduce(DataFrame.unionByName, parts))
-    far = table_.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[c for c in table_.columns if c not in ("lang", "source")])
-    joined = full.join(far, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    p = range(len(FEATURES))
-    cov = [[F.col(f"s{max(i, j)}{min(i, j)}") + F.lit(FLOORS[i] ** 2 if i == j else 0.0) for j in p] for i in p]
-    d2 = _distance([F.col(f"m{i}") for i in p], cov, [F.col(c) for c in FEATURES]) / F.col("scale")
-    # Only departures to the bad side count: more symbols, more repetition, or words far too long or short.
-    out = joined.withColumn("distance2", d2)
+    full = stored(stats.withColumn("base_failed", base_failed()).withColumns(dict(zip(FEATURES, features(), strict=True))), "statistics")
+    good = full.where(~F.col("base_failed")).select("lang", "source", *FEATURES)
+    none = F.lit(None).cast("string")
+    lang, source = F.col("lang").cast("string"), F.col("source").cast("string")
+    levels = F.array(*[F.struct(F.lit(no).alias("level"), (lang if no < 2 else none).alias("g_lang"), (source if no < 1 else none).alias("g_source")) for no in range(3)])
+    groups = good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    sizes = groups.withColumn("g", F.explode(levels)).groupBy("g.level", "g.g_lang", "g.g_source").agg(F.sum("n").alias("n"))
+    sizes = stored(sizes.where(F.col("n") >= min_group), "groups")
+    few = sizes.count() <= BROADCAST_GROUPS
+    rows = _beside(good.select(F.explode(levels).alias("g"), *FEATURES).select("g.*", *FEATURES), sizes.drop("n"), few)
+    fits = stored(mcd(rows, few), "estimates")
+
+    # Of a text's groups that have an estimate, the first counts.
+    out, p = full, range(len(FEATURES))
+    numbers = [*[f"m{i}" for i in p], *[f"w{i}{j}" for i in p for j in range(i + 1)], "scale"]
+    for no in range(3):
+        mine = fits.where(F.col("level") == no).select(F.col("g_lang").alias("_l"), F.col("g_source").alias("_s"), F.struct(*numbers).alias(f"e{no}"))
+        on = F.lit(True)
+        if no < 2:
+            on = lang.eqNullSafe(F.col("_l"))
+        if no < 1:
+            on = on & source.eqNullSafe(F.col("_s"))
+        if no < 2:
+            out = out.join(F.broadcast(mine) if few else mine, on, "left").drop("_l", "_s")
+        else:
+            whole = mine.first()  # one row: the estimate of all texts
+            out = out.withColumn("e2", F.struct(*[F.lit(whole["e2"][c]).alias(c) for c in numbers]) if whole else F.lit(None).cast(fits.select(F.struct(*numbers).alias("e")).schema["e"].dataType))
+    chosen = out.withColumn("e", F.coalesce("e0", "e1", "e2")).drop("e0", "e1", "e2").select("*", *[F.col(f"e.{c}").alias(c) for c in numbers])
+    judged = chosen.withColumn("distance2", _distance() / F.col("scale"))
     kept = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= bound)
-    return out.select(*judged.columns, "distance2", kept.alias("kept"))
+    return judged.select(*stats.columns, "base_failed", "distance2", kept.alias("kept"))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
