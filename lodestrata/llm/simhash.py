@@ -9,11 +9,13 @@ half the distance around them, which takes a fixed number of rows for each, and
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import acos, ceil, comb, log, log2, pi, sqrt
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -27,31 +29,46 @@ BITS = 64
 #: Buckets with more fingerprints than this are linked without making pairs.
 DENSE = 128
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-_AT = (np.arange(8, dtype=np.int64) * 256)[None, :]
 #: Shingles hashed at a time, to bound memory for very long texts.
-_CHUNK = 1 << 16
+_CHUNK = 1 << 12
 
 
-def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
-    """The 64-bit SimHash of a text's shingles of size words, repeats included, as an unsigned number.
+def _hashes(text: str | None, size: int, seed: int) -> Iterator[np.ndarray]:
+    """The XXH64 of a text's shingles of size words, repeats included, in pieces of bounded length.
 
     A-Z is lower-cased; words are runs without ASCII white space. Fewer than size words: the whole
-    sequence is the one shingle; no word: zero. A bit is set if it is set in over half the hashes.
+    sequence is the one shingle; no word: none.
     """
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return
     joined, n = b" ".join(tokens), max(1, len(tokens) - size + 1)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = min(size, len(tokens)) - 1
-    digest, sums = xxhash.xxh64_intdigest, np.zeros((8, 8), np.int64)
+    digest = xxhash.xxh64_intdigest
     for k in range(0, n, _CHUNK):
         m = min(n, k + _CHUNK)
-        hashes = np.array([digest(joined[s:e], seed) for s, e in zip(starts[k:m].tolist(), ends[k + last : m + last].tolist(), strict=True)], np.uint64)
-        seen = np.bincount((hashes.astype("<u8").view(np.uint8).reshape(-1, 8) + _AT).ravel(), minlength=2048)
-        sums += seen.reshape(8, 256) @ _ONES
-    return int(np.packbits((2 * sums > n).ravel(), bitorder="little").view("<u8")[0])
+        yield np.array([digest(joined[s:e], seed) for s, e in zip(starts[k:m].tolist(), ends[k + last : m + last].tolist(), strict=True)], np.uint64)
+
+
+def _majority(bytes_: Iterator[np.ndarray], width: int) -> bytes:
+    """The bits set in over half the rows; bytes_: arrays of rows of width bytes."""
+    sums, n = np.zeros((width, 8), np.int64), 0
+    at = np.arange(width, dtype=np.int64) * 256
+    for rows in bytes_:
+        n += len(rows)
+        if len(rows) < 32 * width // 8:
+            sums += np.unpackbits(rows, axis=1, bitorder="little").sum(axis=0, dtype=np.int64).reshape(width, 8)
+        else:
+            sums += np.bincount((rows + at).ravel(), minlength=256 * width).reshape(width, 256) @ _ONES
+    return np.packbits((2 * sums > n).ravel(), bitorder="little").tobytes()
+
+
+def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
+    """The 64-bit SimHash of a text's shingles, as an unsigned number: a bit is set if it is set in over half the hashes. No word: zero."""
+    rows = (h.astype("<u8").view(np.uint8).reshape(-1, 8) for h in _hashes(text, size, seed))
+    return int.from_bytes(_majority(rows, 8), "little")
 
 
 def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
@@ -132,7 +149,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = stored(fingerprints(pick(docs, id=id_col, text=text_col), size), "fingerprints")
     kinds = stored(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(close_links(kinds.select("fp"), distance))
+    roots = stored(components(close_links(kinds.select("fp"), distance)), "roots")
     linked = kinds.join(roots.select(F.col("node").alias("fp"), "root"), "fp").select("fp", "root", "least")
     best = linked.groupBy("root").agg(F.min("least").alias("component"))
     moved = linked.join(best, "root").select("fp", "component")
@@ -140,16 +157,126 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(final, "fp").select("id", "fp", "component")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, distance: int = 4) -> DataFrame:
-    """The rows of docs, all columns, of which each group of near-duplicates keeps one document: that with the smallest id.
+# What follows finds texts of a given similarity of shingle sets, which lie further apart than a few of 64 bits.
+
+
+def layout(n: int, similarity: float, recall: float = 0.99) -> tuple[int, int, int, int]:
+    """Bits in a block, blocks in a word of 64 bits, number of words, and the greatest Hamming distance of a link.
+
+    Sets of similarity J (as shares of their union) differ in a share acos(2J / (1 + J)) / pi of the
+    bits. There are so many blocks that such texts share one with probability recall; blocks grow with
+    the number of texts, so that unrelated ones rarely share one. The distance allows for the spread of
+    that share, so that nineteen in twenty at the similarity itself are linked.
+    """
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    bits = min(28, max(16, ceil(log2(max(n, 2))) - 2))
+    blocks = ceil(log(1 - recall) / log(1 - (1 - p) ** bits))
+    per = BITS // bits
+    words = ceil(blocks / per)
+    return bits, per, words, int(words * BITS * p + 1.65 * sqrt(words * BITS * p * (1 - p)))
+
+
+#: Multiplier and shift that make more hashes of a hash (fixed values of the SplitMix64 generator).
+_STEP, _MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
+
+
+def wide_fingerprint(text: str | None, size: int, words: int, seed: int = 42) -> np.ndarray:
+    """A SimHash of words times 64 bits, from as many hashes of each shingle."""
+    step = (np.arange(1, words + 1, dtype=np.uint64) * np.uint64(_STEP))[None, :]
+
+    def rows() -> Iterator[np.ndarray]:
+        for h in _hashes(text, size, seed):
+            x = h[:, None] + step
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(_MIX)
+            x ^= x >> np.uint64(27)
+            yield x.astype("<u8").view(np.uint8).reshape(len(h), 8 * words)
 
-    Rows with a null id stay only where no row of their group has an id. Of rows that repeat an id all
-    stay or none.
+    return np.frombuffer(_majority(rows(), 8 * words), "<u8")
+
+
+def wide_fingerprints(docs: DataFrame, size: int, words: int) -> DataFrame:
+    """id, kind (a digest of the fingerprint) and f (the fingerprint as bigints) of docs' id and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(x.as_py(), size, words) for x in batch.column(1)]
+            kinds = [hashlib.blake2b(f.tobytes(), digest_size=16).digest() for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.binary()), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], ["id", "kind", "f"])
+
+    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, kind binary, f array<bigint>")
+
+
+def forest(nodes: np.ndarray, prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Links (fewer than nodes) that connect what all pairs within distance connect; a node once reached is compared no more."""
+    open_, links = np.arange(len(nodes)), []
+    while len(open_):
+        queue, open_ = [open_[0]], open_[1:]
+        while queue and len(open_):
+            q = queue.pop()
+            near = np.bitwise_count(prints[open_] ^ prints[q]).sum(axis=1) <= distance
+            links += [(int(nodes[q]), int(nodes[x])) for x in open_[near]]
+            queue += list(open_[near])
+            open_ = open_[~near]
+    return links
+
+
+#: Fingerprints of a dense bucket that are compared in one go with each other or with as many others.
+_PART = 2048
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, dense: int = DENSE) -> DataFrame:
+    """id, component: for every row of docs with an id, the smallest id that links of at least the similarity reach.
+
+    Ids are bigints; rows that repeat an id are one document. Texts without words are equal. The words
+    of buckets with more than dense fingerprints are compared part by part, which takes bounded memory
+    and gives fewer links than fingerprints.
+    """
+    own = pick(docs, id=id_col, text=text_col).where(F.col("id").isNotNull()).withColumn("id", F.col("id").cast("long"))
+    bits, per, words, distance = layout(own.count(), similarity)
+    marked = stored(wide_fingerprints(own, size, words), "fingerprints")
+    kinds = stored(marked.groupBy("kind", "f").agg(F.min("id").alias("node")), "kinds")
+
+    mask = (1 << bits) - 1
+    block = lambda k: F.shiftrightunsigned(F.get("f", F.lit(k // per)), bits * (k % per)).bitwiseAND(F.lit(mask)) + F.lit(k << bits)
+    entries = kinds.select("node", F.get("f", F.lit(0)).alias("s"), F.explode(F.array(*[block(k) for k in range(words * per)])).alias("key"))
+    crowded = stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense), "crowded")
+    n_crowded = crowded.count()
+    few = F.broadcast(crowded) if n_crowded <= 1_000_000 else crowded
+    light = entries.join(few.select("key"), "key", "left_anti")
+    # The first 64 bits tell most of the unrelated ones apart; 20 is over three standard deviations from either side.
+    left, right = light.select("key", F.col("node").alias("a"), F.col("s").alias("x")), light.select("key", F.col("node").alias("b"), F.col("s").alias("y"))
+    near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 20
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    prints = kinds.select("node", "f")
+    both = pairs.join(prints.select(F.col("node").alias("a"), F.col("f").alias("fa")), "a").join(prints.select(F.col("node").alias("b"), F.col("f").alias("fb")), "b")
+    apart = sum(F.bit_count(F.get("fa", F.lit(i)).bitwiseXOR(F.get("fb", F.lit(i)))) for i in range(words))
+    links = both.where(apart <= distance).select("a", "b")
+
+    if n_crowded:
+
+        def connect(part: pd.DataFrame) -> pd.DataFrame:
+            nodes = part["node"].to_numpy()
+            return pd.DataFrame(forest(nodes, np.stack(part["f"].to_numpy()).astype(np.int64).view(np.uint64), distance), columns=["a", "b"], dtype="int64")
+
+        thick = entries.join(few, "key").select("key", "node", F.ceil(F.col("n") / _PART).cast("int").alias("parts"))
+        thick = thick.withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        thick = thick.join(prints, "node").select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "f")
+        links = links.unionAll(thick.groupBy("key", "i", "j").applyInPandas(connect, "a long, b long"))
+    roots = stored(components(links), "roots")
+    best = roots.groupBy("root").agg(F.min("node").alias("component"))
+    moved = roots.join(best, "root").select("node", "component")
+    final = kinds.select("kind", "node").join(moved, "node", "left").select("kind", F.coalesce("component", "node").alias("component"))
+    return marked.select("id", "kind").join(final, "kind").select("id", "component")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, all columns, of which each group of similar_groups() keeps the document with the smallest id.
+
+    Rows without an id stay. Rows that repeat an id all stay or all go.
     """
-    found = near_duplicates(docs, id_col, text_col, size, distance).where(~F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
+    gone = similar_groups(docs, id_col, text_col, size, similarity).where("id <> component").select("id").distinct()
     at = docs.columns.index(id_col)
-    rows = numbered(docs)
-    kept = rows.join(found, F.col(f"c{at}").eqNullSafe(F.col("id")), "left_anti")
+    kept = numbered(docs).join(gone, F.col(f"c{at}") == F.col("id"), "left_anti")
     return kept.toDF(*docs.columns)
 
 
