@@ -1,5 +1,57 @@
-"""Corpus pipeline (stages to come)."""
-STAGES = []
+"""Corpus pipeline: quality rules, line dedup, near-dedup, benchmark decontamination, mixing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet to the
+shared folder and hands the reread table on.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestrata.llm import decontaminate, line_dedup, mixing, quality, simhash
+from lodestrata.llm.common import stored, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality rules keep."""
+    return quality.keep_quality(docs)
+
+
+def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their texts without lines that a document with a smaller id holds; n_chars follows the text."""
+    out = line_dedup.line_dedup(docs).drop("n_lines", "n_dropped")
+    return line_dedup.recounted(out).select(*docs.columns)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that benchmark items don't contaminate."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken of the documents of which the mix takes words."""
+    return mixing.apply_mix(docs).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", lines_stage),
+    ("near-duplicates", near_duplicates_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("mixing", mixing_stage),
+]
+
+#: SQL can't express the quality, near-duplicate and mixing stages; tests hold each stage against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
