@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import SPACE_CHARS, ascii_lower, numbered, table
+from lodestrata.llm.common import SPACE_CHARS, ascii_lower_key, numbered, table
 
 
 def _digest(key: Column) -> Column:
@@ -21,7 +21,8 @@ def _digest(key: Column) -> Column:
 def _lines(src: DataFrame, min_chars: int) -> DataFrame:
     exploded = src.select("id", "mark", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     key = F.trim(F.col("line"), F.lit(SPACE_CHARS))
-    return exploded.select("id", "mark", "pos", ascii_lower(key).alias("key")).where(F.char_length("key") >= min_chars).select("id", "mark", "pos", _digest(F.col("key")).alias("digest"))
+    # Lower-casing A-Z changes no length, so short keys go before it.
+    return exploded.where(F.char_length(key) >= min_chars).select("id", "mark", "pos", _digest(ascii_lower_key(key)).alias("digest"))
 
 
 def shared_lines(lines: DataFrame, min_docs: int) -> DataFrame:
@@ -62,6 +63,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(*columns, "n_lines", F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
+def recounted(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """docs with the column that counts the text's characters, if there is one, counted again."""
+    return docs.withColumn(chars_col, F.char_length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else docs
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped, kept_sha256."""
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
