@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,7 +62,3 @@ def compression_fold(stats: DataFrame) -> DataFrame:
     by_batch = stats.groupBy("field", "batch_id").agg(F.countDistinct("column_no").alias("n"), F.sum("u_sz").alias("u"), F.sum("c_sz").alias("c"))
     whole = by_batch.groupBy("field").agg(F.avg("n").alias("n_columns"), F.sum("u").alias("u_sz"), F.sum("c").alias("c_sz"))
     return whole.withColumn("fold", F.coalesce(F.try_divide(F.col("u_sz"), F.col("c_sz")), F.lit(0.0)))
-
-
-def any_overlap(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, parts, F.lit(True))
