@@ -78,7 +78,7 @@ def _apportion_shards(shards: DataFrame) -> DataFrame:
     quotients above a common bound give it, and the few left go by the next quotients.
     """
     whole = Window.partitionBy("src")
-    share = shards.withColumn("exact", F.col("words") * F.col("blocks") / F.sum("words").over(whole))
+    share = shards.withColumn("exact", F.col("words") * F.col("blocks") / F.greatest(F.sum("words").over(whole), F.lit(1)))
     base = share.withColumn("base", F.greatest(F.floor(F.col("exact") - 0.5), F.lit(0)).cast("long"))
     base = base.withColumn("open", F.col("blocks") - F.sum("base").over(whole))
     # Sainte-Laguë stays so near to proportion that each shard's last seats are among its next few quotients.
@@ -111,16 +111,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     goals = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], repeats)
     quotas = sainte_lague(goals, round(sum(sizes) / block))
     plan = docs.sparkSession.createDataFrame(
-        [(r["source"], s, g, min(q, repeats * s // block), max(1, -(-s // shard))) for r, s, g, q in zip(rows, sizes, goals, quotas, strict=True)], "src string, source_size long, target double, blocks long, shards int"
+        [(r["source"], s, g, min(q, repeats * s // block), max(1, -(-s // shard)), g >= repeats * s) for r, s, g, q in zip(rows, sizes, goals, quotas, strict=True)], "src string, source_size long, target double, blocks long, shards int, full boolean"
     )
     plan = F.broadcast(plan) if len(rows) <= 10_000 else plan
     dealt = sized.join(plan, F.col("source").eqNullSafe(F.col("src"))).withColumn("shard", F.pmod(F.xxhash64("order"), F.col("shards")).cast("int")).drop("src")
 
     parts = dealt.groupBy(F.col("source").alias("src"), "shard").agg(F.sum("size").alias("words"), F.max("blocks").alias("blocks"))
     quota = _apportion_shards(parts).select("src", F.col("shard").alias("part"), "words", F.least(F.col("quota") * block, F.col("words") * repeats).alias("quota"))
+    # A source whose target is all that it may give is used in full, whatever is left over after its last block.
     joined = dealt.join(quota, F.col("source").eqNullSafe(F.col("src")) & (F.col("shard") == F.col("part")))
     order = Window.partitionBy("source", "shard").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = joined.withColumn("lo", F.coalesce(F.sum("size").over(order), F.lit(0))).withColumn("hi", F.col("lo") + F.col("size"))
+    start = start.withColumn("quota", F.when(F.col("full"), F.col("words") * repeats).otherwise(F.col("quota")))
     passes, rest = F.floor(F.col("quota") / F.greatest("words", F.lit(1))).cast("long"), F.pmod(F.col("quota"), F.greatest("words", F.lit(1)))
     first = F.pmod(F.xxhash64(F.lit(seed), F.col("source"), F.col("shard")), F.greatest(F.ceil(F.col("words") / block), F.lit(1))) * block
     placed = start.withColumns({"passes": passes, "rest": rest, "from": first})
