@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import decontaminate, lattice, line_dedup, mixing, quality, simhash, url_filter, warc
+from lodestrata.llm import decontaminate, lattice, licenses, line_dedup, mixing, quality, simhash, site_quality, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_license_scan": licenses.op2_license_scan,
+    "op3_site_quality": site_quality.op3_site_quality,
     "op4_warc": warc.op4_warc,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_lattice_scores": lattice.op6_lattice_scores,
