@@ -23,7 +23,7 @@ SHARE, STEPS = 0.75, 3
 #: Groups with fewer texts than this use their language's estimate, or else that of all texts.
 MIN_GROUP = 50
 #: Standard deviations below which a statistic doesn't count as narrower, by feature: a source whose texts all agree must not reject small departures.
-FLOORS = (0.12, 0.08, 0.15, 0.15)
+FLOORS = (0.12, 0.06, 0.15, 0.15)
 #: Median and rejection bound of the squared distance: quantiles 0.5 and 0.99999 of chi-square with 4 degrees of freedom.
 CHI_MEDIAN, CHI_BOUND = 3.3567, 28.4733
 FEATURES = ("f0", "f1", "f2", "f3")
