@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -70,16 +72,23 @@ def words(text: Column, separators: str = SPACE) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{separators}+"), "")
 
 
+#: By application, the folder chosen where none is set.
+_chosen: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one spark.checkpoint.dir names.
 
-    Where the setting is absent (tests in one process) a temporary folder is chosen and remembered.
+    Where the setting is absent (tests in one process) a temporary folder is made, which goes when Python ends.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="lodestrata-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _chosen:
+        _chosen[app] = tempfile.mkdtemp(prefix="lodestrata-")
+        atexit.register(shutil.rmtree, _chosen[app], ignore_errors=True)
+    return _chosen[app]
 
 
 def new_path(spark: SparkSession, what: str) -> str:
