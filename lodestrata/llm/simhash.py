@@ -220,11 +220,13 @@ def forest(nodes: np.ndarray, prints: np.ndarray, distance: int) -> list[tuple[i
     return links
 
 
+#: The same as DENSE for wide fingerprints, whose unrelated ones leave about four in a bucket at any size of the input.
+WIDE_DENSE = 16
 #: Fingerprints of a dense bucket that are compared in one go with each other or with as many others.
 _PART = 2048
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, dense: int = DENSE) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, dense: int = WIDE_DENSE) -> DataFrame:
     """id, component: for every row of docs with an id, the smallest id that links of at least the similarity reach.
 
     Ids are bigints; rows that repeat an id are one document. Texts without words are equal. The words
