@@ -161,12 +161,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def layout(n: int, similarity: float, recall: float = 0.99) -> tuple[int, int, int, int]:
-    """Bits in a block, blocks in a word of 64 bits, number of words, and the greatest Hamming distance of a link.
+    """Bits in a block, blocks in a word of 64 bits, number of words, and the greatest Hamming distance of a candidate.
 
     Sets of similarity J (as shares of their union) differ in a share acos(2J / (1 + J)) / pi of the
     bits. There are so many blocks that such texts share one with probability recall; blocks grow with
     the number of texts, so that unrelated ones rarely share one. The distance allows for the spread of
-    that share, so that nineteen in twenty at the similarity itself are linked.
+    that share, so that nineteen in twenty at the similarity itself are candidates.
     """
     p = acos(2 * similarity / (1 + similarity)) / pi
     bits = min(28, max(16, ceil(log2(max(n, 2))) - 2))
@@ -176,16 +176,27 @@ def layout(n: int, similarity: float, recall: float = 0.99) -> tuple[int, int, i
     return bits, per, words, int(words * BITS * p + 1.65 * sqrt(words * BITS * p * (1 - p)))
 
 
+def _reach(bits: int, p: float) -> int:
+    """A distance that texts which differ in a share p of the bits don't exceed: six standard deviations beyond the mean."""
+    return int(bits * p + 6 * sqrt(bits * p * (1 - p)))
+
+
 #: Multiplier and shift that make more hashes of a hash (fixed values of the SplitMix64 generator).
 _STEP, _MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
 
-def wide_fingerprint(text: str | None, size: int, words: int, seed: int = 42) -> np.ndarray:
-    """A SimHash of words times 64 bits, from as many hashes of each shingle."""
+def shingles(text: str | None, size: int, seed: int = 42) -> np.ndarray:
+    """The set of a text's shingles: their hashes in order, each once."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *_hashes(text, size, seed)]))
+
+
+def wide_fingerprint(own: np.ndarray, words: int) -> np.ndarray:
+    """A SimHash of words times 64 bits of a set of shingles, from as many hashes of each."""
     step = (np.arange(1, words + 1, dtype=np.uint64) * np.uint64(_STEP))[None, :]
 
     def rows() -> Iterator[np.ndarray]:
-        for h in _hashes(text, size, seed):
+        for k in range(0, len(own), _CHUNK):
+            h = own[k : k + _CHUNK]
             x = h[:, None] + step
             x = (x ^ (x >> np.uint64(30))) * np.uint64(_MIX)
             x ^= x >> np.uint64(27)
@@ -194,16 +205,35 @@ def wide_fingerprint(text: str | None, size: int, words: int, seed: int = 42) ->
     return np.frombuffer(_majority(rows(), 8 * words), "<u8")
 
 
-def wide_fingerprints(docs: DataFrame, size: int, words: int) -> DataFrame:
-    """id, kind (a digest of the fingerprint) and f (the fingerprint as bigints) of docs' id and text."""
+#: Pairs whose smaller set has at most so many shingles are found by shared shingles, as few shingles make the bits' share uncertain.
+SHORT = 64
+
+
+def prefix_keys(own: np.ndarray, similarity: float) -> np.ndarray:
+    """Negative keys of which two sets of at least the similarity share one, the smaller having at most SHORT shingles; none for larger sets.
+
+    Such sets share one of their first n - ceil(similarity * n) + 1 shingles in the order of hashes.
+    """
+    n = len(own)
+    if not n or n > SHORT / similarity + 1e-9:
+        return np.empty(0, np.int64)
+    return ((own[: n - ceil(similarity * n - 1e-9) + 1] >> np.uint64(1)) | np.uint64(1 << 63)).view(np.int64)
+
+
+def wide_fingerprints(docs: DataFrame, size: int, words: int, similarity: float) -> DataFrame:
+    """id, kind (a digest of the set of shingles), f (its fingerprint as bigints) and keys (prefix_keys()) of docs' id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_fingerprint(x.as_py(), size, words) for x in batch.column(1)]
-            kinds = [hashlib.blake2b(f.tobytes(), digest_size=16).digest() for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.binary()), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], ["id", "kind", "f"])
+            kinds, found, keys = [], [], []
+            for x in batch.column(1):
+                own = shingles(x.as_py(), size)
+                kinds.append(hashlib.blake2b(own.astype("<u8").tobytes(), digest_size=16).digest())
+                found.append(wide_fingerprint(own, words).view(np.int64))
+                keys.append(prefix_keys(own, similarity))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["id", "kind", "f", "keys"])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, kind binary, f array<bigint>")
+    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, kind binary, f array<bigint>, keys array<bigint>")
 
 
 def forest(nodes: np.ndarray, prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -220,51 +250,101 @@ def forest(nodes: np.ndarray, prints: np.ndarray, distance: int) -> list[tuple[i
     return links
 
 
+def verified_forest(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (fewer than sets) that connect what all pairs of at least the Jaccard similarity connect; sets: arrays of distinct hashes, none empty."""
+    if len(sets) < 2:
+        return []
+    sizes = np.array([len(x) for x in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(flat, np.cumsum(sizes)[:-1])
+    marked, open_, links = np.zeros(flat.max() + 1, bool), np.arange(len(sets)), []
+    while len(open_):
+        queue, open_ = [open_[0]], open_[1:]
+        rest = np.concatenate([own[x] for x in open_]) if len(open_) else flat[:0]
+        while queue and len(open_):
+            q = queue.pop()
+            marked[own[q]] = True
+            common = np.add.reduceat(marked[rest], np.cumsum(sizes[open_]) - sizes[open_], dtype=np.int64)
+            marked[own[q]] = False
+            near = common >= similarity * (sizes[open_] + sizes[q] - common) - 1e-9
+            if near.any():
+                links += [(int(nodes[q]), int(nodes[x])) for x in open_[near]]
+                queue += list(open_[near])
+                rest, open_ = rest[np.repeat(~near, sizes[open_])], open_[~near]
+    return links
+
+
 #: The same as DENSE for wide fingerprints, whose unrelated ones leave about four in a bucket at any size of the input.
 WIDE_DENSE = 16
 #: Fingerprints of a dense bucket that are compared in one go with each other or with as many others.
 _PART = 2048
+#: Characters of a candidate group whose texts are verified in one go with each other or with as many others.
+_PART_CHARS = 16 << 20
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, dense: int = WIDE_DENSE) -> DataFrame:
-    """id, component: for every row of docs with an id, the smallest id that links of at least the similarity reach.
-
-    Ids are bigints; rows that repeat an id are one document. Texts without words are equal. The words
-    of buckets with more than dense fingerprints are compared part by part, which takes bounded memory
-    and gives fewer links than fingerprints.
-    """
-    own = pick(docs, id=id_col, text=text_col).where(F.col("id").isNotNull()).withColumn("id", F.col("id").cast("long"))
-    bits, per, words, distance = layout(own.count(), similarity)
-    marked = stored(wide_fingerprints(own, size, words), "fingerprints")
-    kinds = stored(marked.groupBy("kind", "f").agg(F.min("id").alias("node")), "kinds")
-
+def candidate_links(kinds: DataFrame, layout_: tuple[int, int, int, int], similarity: float, dense: int) -> DataFrame:
+    """a, b: links between the nodes of kinds (node, f, keys) that give the components of all pairs of at least the similarity, and of more."""
+    bits, per, words, distance = layout_
     mask = (1 << bits) - 1
     block = lambda k: F.shiftrightunsigned(F.get("f", F.lit(k // per)), bits * (k % per)).bitwiseAND(F.lit(mask)) + F.lit(k << bits)
-    entries = kinds.select("node", F.get("f", F.lit(0)).alias("s"), F.explode(F.array(*[block(k) for k in range(words * per)])).alias("key"))
+    keys = F.concat(F.array(*[block(k) for k in range(words * per)]), F.col("keys"))
+    entries = kinds.select("node", F.get("f", F.lit(0)).alias("s"), F.get("f", F.lit(1)).alias("t"), F.explode(keys).alias("key"))
     crowded = stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense), "crowded")
     n_crowded = crowded.count()
     few = F.broadcast(crowded) if n_crowded <= 1_000_000 else crowded
     light = entries.join(few.select("key"), "key", "left_anti")
-    # The first 64 bits tell most of the unrelated ones apart; 20 is over three standard deviations from either side.
-    left, right = light.select("key", F.col("node").alias("a"), F.col("s").alias("x")), light.select("key", F.col("node").alias("b"), F.col("s").alias("y"))
-    near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 20
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    # The first 128 bits tell most of the unrelated ones apart; sets found by a shared shingle need no such test.
+    side = lambda node, s, t: light.select("key", F.col("node").alias(node), F.col("s").alias(s), F.col("t").alias(t))
+    apart = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) + F.bit_count(F.col("x2").bitwiseXOR(F.col("y2")))
+    near = (apart <= _reach(2 * BITS, acos(2 * similarity / (1 + similarity)) / pi)) | (F.col("key") < 0)
+    pairs = side("a", "x", "x2").join(side("b", "y", "y2"), "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
     prints = kinds.select("node", "f")
     both = pairs.join(prints.select(F.col("node").alias("a"), F.col("f").alias("fa")), "a").join(prints.select(F.col("node").alias("b"), F.col("f").alias("fb")), "b")
     apart = sum(F.bit_count(F.get("fa", F.lit(i)).bitwiseXOR(F.get("fb", F.lit(i)))) for i in range(words))
     links = both.where(apart <= distance).select("a", "b")
+    if not n_crowded:
+        return links
+
+    def connect(part: pd.DataFrame) -> pd.DataFrame:
+        nodes = part["node"].to_numpy()
+        return pd.DataFrame(forest(nodes, np.stack(part["f"].to_numpy()).astype(np.int64).view(np.uint64), distance), columns=["a", "b"], dtype="int64")
+
+    thick = entries.join(few, "key").select("key", "node", F.ceil(F.col("n") / _PART).cast("int").alias("parts"))
+    thick = thick.withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    thick = thick.join(prints, "node").select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "f")
+    return links.unionAll(thick.groupBy("key", "i", "j").applyInPandas(connect, "a long, b long"))
 
-    if n_crowded:
 
-        def connect(part: pd.DataFrame) -> pd.DataFrame:
-            nodes = part["node"].to_numpy()
-            return pd.DataFrame(forest(nodes, np.stack(part["f"].to_numpy()).astype(np.int64).view(np.uint64), distance), columns=["a", "b"], dtype="int64")
+def verified_links(own: DataFrame, roots: DataFrame, size: int, similarity: float, part_chars: int = _PART_CHARS) -> DataFrame:
+    """a, b: links between documents of own (id, text) under the same root (node, root) that connect what all pairs of sets of at least the similarity connect."""
 
-        thick = entries.join(few, "key").select("key", "node", F.ceil(F.col("n") / _PART).cast("int").alias("parts"))
-        thick = thick.withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        thick = thick.join(prints, "node").select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "f")
-        links = links.unionAll(thick.groupBy("key", "i", "j").applyInPandas(connect, "a long, b long"))
-    roots = stored(components(links), "roots")
+    def connect(part: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingles(x, size) for x in part["text"]]
+        some = [k for k, x in enumerate(sets) if len(x)]
+        return pd.DataFrame(verified_forest(part["node"].to_numpy()[some], [sets[k] for k in some], similarity), columns=["a", "b"], dtype="int64")
+
+    texts = own.join(roots, F.col("id") == F.col("node")).select("root", "node", F.coalesce("text", F.lit("")).alias("text"))
+    sums = own.select("id", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).join(roots, F.col("id") == F.col("node"))
+    parts = sums.groupBy("root").agg(F.greatest(F.ceil(F.sum("chars") / part_chars), F.lit(1)).cast("int").alias("parts"))
+    each = texts.join(parts, "root").withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    each = each.select("root", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "text")
+    return each.groupBy("root", "i", "j").applyInPandas(connect, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, dense: int = WIDE_DENSE, part_chars: int = _PART_CHARS) -> DataFrame:
+    """id, component: for every row of docs with an id, the smallest id that links of at least the similarity reach.
+
+    The similarity is the Jaccard coefficient of the sets of shingles; fingerprints give the candidates,
+    and every link is verified. Ids are bigints; rows that repeat an id are one document. Texts without
+    words are equal. Fingerprints of buckets with more than dense, and texts of large groups of
+    candidates, are compared part by part, which takes bounded memory and gives fewer links than documents.
+    """
+    own = pick(docs, id=id_col, text=text_col).where(F.col("id").isNotNull()).withColumn("id", F.col("id").cast("long"))
+    plan = layout(own.count(), similarity)
+    marked = stored(wide_fingerprints(own, size, plan[2], similarity), "fingerprints")
+    kinds = stored(marked.groupBy("kind", "f", "keys").agg(F.min("id").alias("node")), "kinds")
+    near = stored(components(candidate_links(kinds, plan, similarity, dense)), "candidates")
+    roots = stored(components(verified_links(own, near, size, similarity, part_chars)), "roots")
     best = roots.groupBy("root").agg(F.min("node").alias("component"))
     moved = roots.join(best, "root").select("node", "component")
     final = kinds.select("kind", "node").join(moved, "node", "left").select("kind", F.coalesce("component", "node").alias("component"))

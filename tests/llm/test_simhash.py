@@ -125,3 +125,23 @@ def test_forest_connects_like_all_pairs():
     links = simhash.forest(np.arange(120), prints, 2)
     want = [(a, b) for a, b in combinations(range(120), 2) if sum((x ^ y).bit_count() for x, y in zip(rows[a], rows[b], strict=True)) <= 2]
     assert groups(range(120), links) == groups(range(120), want) and len(links) < 120
+
+
+def jaccard_groups(texts, limit=0.8):
+    return groups(texts, [(a, b) for a, b in combinations(texts, 2) if similar(texts[a], texts[b]) >= limit])
+
+
+@pytest.mark.parametrize("dense", [1, 16])
+def test_a_repeated_phrase_neither_links_nor_parts(spark, dense):
+    """Sets of shingles decide: a phrase that unrelated texts repeat links nothing, and a copy without the repeats is linked."""
+    rng = random.Random(11)
+    make = lambda n: [f"w{rng.randrange(30000)}" for _ in range(n)]
+    phrase, texts = make(8), {}
+    for k in range(12):
+        base = make(700)
+        texts[2 * k] = " ".join(base + phrase * 35)
+        texts[2 * k + 1] = " ".join(base)
+    want = jaccard_groups(texts)
+    assert want == {i: i - i % 2 for i in texts}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["id"]: r["component"] for r in simhash.similar_groups(df, dense=dense, part_chars=3000).collect()} == want
