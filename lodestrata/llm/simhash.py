@@ -160,20 +160,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # What follows finds texts of a given similarity of shingle sets, which lie further apart than a few of 64 bits.
 
 
-def layout(n: int, similarity: float, recall: float = 0.99) -> tuple[int, int, int, int]:
+def layout(n: int, similarity: float, recall: float = 0.9995) -> tuple[int, int, int, int]:
     """Bits in a block, blocks in a word of 64 bits, number of words, and the greatest Hamming distance of a candidate.
 
     Sets of similarity J (as shares of their union) differ in a share acos(2J / (1 + J)) / pi of the
     bits. There are so many blocks that such texts share one with probability recall; blocks grow with
-    the number of texts, so that unrelated ones rarely share one. The distance allows for the spread of
-    that share, so that nineteen in twenty at the similarity itself are candidates.
+    the number of texts, so that unrelated ones rarely share one. Sets of a few shingles differ in up to
+    a quarter more of the bits (4 of 5 shingles: 0.1875 for 0.1515); the distance allows for that and
+    for six standard deviations, as candidates are verified by their sets.
     """
     p = acos(2 * similarity / (1 + similarity)) / pi
     bits = min(28, max(16, ceil(log2(max(n, 2))) - 2))
     blocks = ceil(log(1 - recall) / log(1 - (1 - p) ** bits))
     per = BITS // bits
     words = ceil(blocks / per)
-    return bits, per, words, int(words * BITS * p + 1.65 * sqrt(words * BITS * p * (1 - p)))
+    return bits, per, words, _reach(words * BITS, 1.25 * p)
 
 
 def _reach(bits: int, p: float) -> int:

@@ -145,3 +145,23 @@ def test_a_repeated_phrase_neither_links_nor_parts(spark, dense):
     assert want == {i: i - i % 2 for i in texts}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r["id"]: r["component"] for r in simhash.similar_groups(df, dense=dense, part_chars=3000).collect()} == want
+
+
+def test_all_pairs_at_the_threshold(spark):
+    """Pairs of exactly 0.8, long and short, against all pairs by brute force."""
+    rng = random.Random(12)
+    make = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = {}
+    for k in range(300):
+        n = 9 * (1 + k % 30)
+        base = make(n + 4)
+        texts[2 * k], texts[2 * k + 1] = " ".join(base), " ".join(base[: n + 4 - n // 9] + make(n // 9))
+    for k in range(300, 360):
+        base = make(9)
+        texts[2 * k], texts[2 * k + 1] = " ".join(base), " ".join(base[:8])
+    want = {i: i - i % 2 for i in texts}
+    assert all(similar(texts[i], texts[i + 1]) == 0.8 for i in range(0, 720, 2))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in simhash.similar_groups(df).collect()}
+    missed = [i for i in want if got[i] != want[i]]
+    assert all(got[i] in (i, want[i]) for i in want) and len(missed) <= 1
