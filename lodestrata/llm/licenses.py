@@ -3,6 +3,10 @@
 The parts of a text are its lines with words, its paragraphs (lines between blank ones) and the whole. A
 part of a bigrams can only reach a coefficient t with a template of b bigrams if a lies between
 b * t / (2 - t) and b * (2 - t) / t, so sorted sizes leave few templates to compare.
+
+Licences inside longer texts are found by windows: runs of words anywhere in the text, of any size within
+these bounds. The best ones begin and end with a bigram of the template, and hold at least b * t / (2 - t)
+of them, so only places where these stand that close together are looked at.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -84,6 +89,53 @@ class Templates:
         self.sizes = [sum(g.values()) for _, g in self.all]
         self.threshold, self.known = threshold, {g for _, c in self.all for g in c}
         self.low, self.high = threshold / (2 - threshold), (2 - threshold) / threshold
+        self.holders: dict[tuple[str, str], list[int]] = {}
+        for k, (_, grams) in enumerate(self.all):
+            for g in grams:
+                self.holders.setdefault(g, []).append(k)
+
+    def windows(self, text: str) -> list[tuple[str, float, int, int]]:
+        """License, coefficient, first and last line of the best windows that reach the threshold; those of a template don't overlap."""
+        lines = [normalised(x) for x in text.split("\n")]
+        words = [w for x in lines for w in x]
+        hits: dict[int, list[tuple[int, tuple[str, str]]]] = {}
+        for i, g in enumerate(zip(words, words[1:], strict=False)):
+            for k in self.holders.get(g, ()):
+                hits.setdefault(k, []).append((i, g))
+        out, line = [], None
+        for k, own in hits.items():
+            name, grams = self.all[k]
+            b, found = self.sizes[k], []
+            least, most = max(1, ceil(b * self.low - 1e-9)), int(b * self.high + 1e-9)
+            for x in range(len(own) - least + 1):
+                begin = own[x][0]
+                if own[x + least - 1][0] - begin >= most:
+                    continue
+                left, common, best = dict(grams), 0, (0.0, 0)
+                for y in range(x, len(own)):
+                    i, g = own[y]
+                    if i - begin >= most:
+                        break
+                    if left[g]:
+                        left[g] -= 1
+                        common += 1
+                        best = max(best, (2 * common / (i - begin + 1 + b), i))
+                if best[0] >= self.threshold:
+                    found.append((-best[0], begin, best[1]))
+            # Taken windows don't overlap, so their ends are in the order of their beginnings.
+            taken: list[tuple[int, int]] = []
+            for score, begin, end in sorted(found):
+                at = bisect_left(taken, (begin, end))
+                if (at == 0 or taken[at - 1][1] < begin) and (at == len(taken) or end < taken[at][0]):
+                    taken.insert(at, (begin, end))
+                    line = line or [no for no, x in enumerate(lines) for _ in x]
+                    out.append((name, -score, line[begin], line[end + 1]))
+        return out
+
+    def find_all(self, text: str) -> list[tuple[str, float, int, int]]:
+        """find(), and the windows that are better than all of these that share a line with them."""
+        out = self.find(text)
+        return out + [(n, d, a, b) for n, d, a, b in self.windows(text) if not any(n == m and d <= e + 1e-12 and a <= z and y <= b for m, e, y, z in out)]
 
     def find(self, text: str) -> list[tuple[str, float, int, int]]:
         """License, coefficient, first and last line of all parts that reach the threshold."""
@@ -101,9 +153,10 @@ class Templates:
         return out
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", embedded: bool = False) -> DataFrame:
     """One row per row of docs: id and matches (license, dice, first_line, last_line), the best first.
 
+    embedded: windows of words are compared as well as the parts of a text.
     Equal coefficients are in the order of names and lines. Null, empty and blank texts have no match, nor
     has anything without templates. Ids may repeat or be null. Each text is scanned as a whole, by itself.
     """
@@ -115,8 +168,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(templates, threshold)
+        find = known.find_all if embedded else known.find
         for batch in batches:
-            found = [sorted(known.find(t.as_py() or ""), key=lambda m: (-m[1], m[0], m[2], m[3])) for t in batch.column(1)]
+            found = [sorted(find(t.as_py() or ""), key=lambda m: (-m[1], m[0], m[2], m[3])) for t in batch.column(1)]
             rows = [[dict(zip(("license", "dice", "first_line", "last_line"), m, strict=True)) for m in each] for each in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.struct(fields)))], ["id", "matches"])
 
@@ -126,7 +180,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_matches, licenses (names in order, comma-joined), best_license, best_dice."""
-    out = scan(table(spark, sf_dir, "documents"))
+    out = scan(table(spark, sf_dir, "documents"), embedded=True)
     best = F.get("matches", F.lit(0))
     return out.select(
         F.col("id").alias("doc_id"), F.size("matches").cast("long").alias("n_matches"), F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"), best["license"].alias("best_license"), best["dice"].alias("best_dice")

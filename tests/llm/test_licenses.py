@@ -64,3 +64,49 @@ def test_empty_and_corpus(docs, empty):
     assert licenses.scan(empty).count() == 0
     assert licenses.scan(docs, {}).where("size(matches) > 0").count() == 0
     assert licenses.scan(docs).count() == docs.count()
+
+
+def best_windows(text, templates, threshold):
+    """The best coefficient of any run of words, by template."""
+    w, out = licenses.normalised(text), {}
+    for name, t in templates.items():
+        y = licenses.bigrams(licenses.normalised(t))
+        scores = [licenses.dice(licenses.bigrams(w[a:b]), y) for a in range(len(w)) for b in range(a + 2, min(len(w), a + 3 * y.total()) + 1)]
+        if (best := max(scores, default=0.0)) >= threshold:
+            out[name] = round(best, 9)
+    return out
+
+
+def embedded_texts():
+    mit = licenses.TEMPLATES["MIT"].split()
+    filler = " ".join(f"filler{k}" for k in range(500))
+    cut = [" ".join(mit[:60]), " ".join(mit[60:95]), " ".join(mit[95:])]
+    return [
+        f"{filler}\n\n{cut[0]}\n\n{cut[1]}\n\n{cut[2]}\n\n{filler}",
+        "Copyright 2020 by somebody else. Released under the MIT License. See the file for more of it and so on.",
+        f"{filler}\n{cut[0]}\n{cut[1]}\n{cut[2]}\n{filler}",
+    ]
+
+
+def test_licences_inside_longer_texts(spark):
+    assert all(not brute(t, licenses.TEMPLATES, 0.8) for t in embedded_texts())
+    df = spark.createDataFrame(list(enumerate(embedded_texts())), "doc_id long, text string")
+    got = {r["id"]: [tuple(m) for m in r["matches"]] for r in licenses.scan(df, embedded=True).collect()}
+    assert got == {0: [("MIT", 1.0, 2, 6)], 1: [("MIT-statement", 1.0, 0, 0)], 2: [("MIT", 1.0, 1, 3)]}
+
+
+def test_windows_are_the_best_of_all():
+    import random
+
+    rng, hit = random.Random(3), 0
+    templates = {"a": "b c d e f g h i", "b": "b c b c d", "c": "x y z", "d": "h g f e d c b a b c d"}
+    for _ in range(300):
+        base = " ".join(rng.choice([*templates.values(), "q q r", "b c", "d e x"]) for _ in range(4)).split()
+        text = " ".join(x for x in base if rng.random() > 0.1)
+        for threshold in (0.8, 0.5):
+            got: dict = {}
+            for name, score, *_ in licenses.Templates(templates, threshold).windows(text):
+                got[name] = max(got.get(name, 0.0), round(score, 9))
+            assert got == best_windows(text, templates, threshold)
+            hit += len(got)
+    assert hit > 300
