@@ -1,8 +1,8 @@
 """Quality rules: base rules of one text, then robust multivariate outliers among texts of a kind.
 
 Each text gets a vector of transformed statistics. For every language and source the minimum covariance
-determinant estimate finds the centre and scatter of the densest share of its texts, by repeated
-concentration steps, and texts far away in Mahalanobis distance are rejected. Everything is DataFrame
+determinant estimate finds the centre and scatter of the densest share of its texts, by concentration
+steps from several starts until the determinants settle, and texts far away in Mahalanobis distance are rejected. Everything is DataFrame
 functions: statistics are computed inside the row, and a step is one grouped aggregation.
 """
 
@@ -18,11 +18,13 @@ from lodestrata.llm.common import SPACE, numbered, pick, stored, table, words
 #: Characters that count as symbols, for Java's regular expressions.
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
-#: The share of a group that its estimate rests on, and how often it is refined.
-SHARE, STEPS = 0.75, 3
+#: The share of a group that its estimate rests on, how often it is refined at most, and the change of the determinant's logarithm that ends it.
+SHARE, STEPS, SETTLED = 0.75, 12, 1e-3
+#: Beside the median and the moments of all, so many starts from the moments of a tenth of the texts.
+TENTHS = 2
 #: Groups with fewer texts than this use their language's estimate, or else that of all texts.
 MIN_GROUP = 50
-#: Standard deviations below which a statistic doesn't count as narrower, by feature: a source whose texts all agree must not reject small departures.
+#: Standard deviations below which a statistic doesn't count as narrower, by feature, for estimates that no others are given for; judge() takes those of floors().
 FLOORS = (0.12, 0.06, 0.15, 0.15)
 #: Median and rejection bound of the squared distance: quantiles 0.5 and 0.99999 of chi-square with 4 degrees of freedom.
 CHI_MEDIAN, CHI_BOUND = 3.3567, 28.4733
@@ -87,8 +89,20 @@ def features() -> list[Column]:
     ]
 
 
-def _whitened(fits: DataFrame) -> DataFrame:
-    """fits with w00, w10 ...: the inverse of the Cholesky factor of the covariances, whose variances have the floors added so that it exists.
+def floors(good: DataFrame) -> tuple[float, ...]:
+    """By feature, the standard deviation that counting alone gives the middle text of good, all groups pooled.
+
+    A share of n on the arcsine scale has the variance 1 / (4n) whatever the share, n being characters,
+    lines, or windows' worth of words; the logarithm of a mean word length about the same of its words. A
+    source whose texts all agree (most have no symbol or repeat) must not reject what chance can give.
+    """
+    sizes = (F.col("n_words"), F.col("word_chars"), F.col("n_lines"), F.col("n_words") / WINDOW)
+    middle = good.agg(*[F.percentile_approx(F.greatest(n.cast("double"), F.lit(1.0)), F.lit(0.5), F.lit(2000)) for n in sizes]).first()
+    return tuple(FLOORS if middle[0] is None else (0.5 / n**0.5 for n in middle))
+
+
+def _whitened(fits: DataFrame, least: tuple[float, ...] = FLOORS) -> DataFrame:
+    """fits with w00, w10 ...: the inverse of the Cholesky factor of the covariances, whose variances have those of least added so that it exists.
 
     Every element is a column of its own, so that none is written out again in the next.
     """
@@ -96,7 +110,7 @@ def _whitened(fits: DataFrame) -> DataFrame:
     minus = lambda terms, start: reduce(lambda a, b: a - b, terms, start)
     for i in range(p):
         for j in range(i + 1):
-            left = minus([F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)], F.col(f"s{i}{j}") + F.lit(FLOORS[i] ** 2 if i == j else 0.0))
+            left = minus([F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)], F.col(f"s{i}{j}") + F.lit(least[i] ** 2 if i == j else 0.0))
             fits = fits.withColumn(f"l{i}{j}", F.sqrt(F.greatest(left, F.lit(1e-12))) if i == j else left / F.col(f"l{j}{j}"))
     for i in range(p):
         for j in range(i + 1):
@@ -115,34 +129,44 @@ def _distance() -> Column:
 KEYS = ("level", "g_lang", "g_source")
 
 
-def _beside(rows: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
-    """rows joined with what groups have for their KEYS; sent to every executor if the groups are few."""
-    mine = groups.select(*[F.col(k).alias(f"_{k}") for k in KEYS], *[c for c in groups.columns if c not in KEYS])
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEYS])
-    return rows.join(F.broadcast(mine) if few else mine, on).drop(*[f"_{k}" for k in KEYS])
+def _beside(rows: DataFrame, groups: DataFrame, few: bool, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """rows joined with what groups have for their keys; sent to every executor if the groups are few."""
+    mine = groups.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in groups.columns if c not in keys])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return rows.join(F.broadcast(mine) if few else mine, on).drop(*[f"_{k}" for k in keys])
 
 
-def mcd(rows: DataFrame, few: bool, share: float = SHARE, steps: int = STEPS) -> DataFrame:
+def mcd(rows: DataFrame, few: bool, share: float = SHARE, steps: int = STEPS, least: tuple[float, ...] = FLOORS) -> DataFrame:
     """By KEYS: n, means, whitening and scale of the minimum covariance determinant estimate of the features.
 
-    The first estimate is the median of each feature with its spread around it; every step then takes
-    the share of each group that is nearest to the present estimate, and estimates anew from these.
-    scale makes the median distance of all texts of a group what it would be for normal ones, and is
-    never under 1, so a group that is tighter than the floors rejects no more.
+    There are several starts: the median of each feature with its spread around it, the moments of all
+    texts, and those of a few tenths of the texts by a hash. Every step takes the share of each group that
+    is nearest to the present estimate, and estimates anew from these, until no determinant changes; of a
+    group's starts the one with the smallest determinant counts. scale makes the median distance of all
+    texts of a group what it would be for normal ones, and is never under 1, so a group that is tighter
+    than the floors, or has constant features, rejects no more.
     """
-    p = range(len(FEATURES))
+    p, keys = range(len(FEATURES)), (*KEYS, "start")
     quarter = lambda i, q: F.percentile_approx(FEATURES[i], F.lit(q), F.lit(2000))
+    moments = [F.avg(FEATURES[i]).alias(f"m{i}") for i in p] + [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"s{i}{j}") for i in p for j in p if j <= i]
+    logdet = -2 * reduce(lambda a, b: a + b, [F.log(F.col(f"w{i}{i}")) for i in p])
+    whole = lambda fits: stored(_whitened(fits, least).withColumn("logdet", logdet), "estimates")
     first = rows.groupBy(*KEYS).agg(*[quarter(i, 0.5).alias(f"m{i}") for i in p], *[F.pow((quarter(i, 0.75) - quarter(i, 0.25)) / 1.349, F.lit(2.0)).alias(f"s{i}{i}") for i in p])
     for i in p:
         for j in range(i):
             first = first.withColumn(f"s{i}{j}", F.lit(0.0))
-    fits = stored(_whitened(first), "estimates")
-    moments = [F.avg(FEATURES[i]).alias(f"m{i}") for i in p] + [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"s{i}{j}") for i in p for j in p if j <= i]
+    first = first.withColumn("start", F.lit(0)).unionByName(rows.groupBy(*KEYS).agg(*moments).withColumn("start", F.lit(1)))
+    part = rows.withColumn("start", F.pmod(F.xxhash64(*FEATURES), F.lit(10)).cast("int") + 2).where(F.col("start") < 2 + TENTHS)
+    fits = whole(first.unionByName(part.groupBy(*keys).agg(*moments)))
     for _ in range(steps):
-        near = _beside(rows, fits, few).withColumn("d2", _distance()).select(*KEYS, *FEATURES, "d2")
-        cut = stored(near.groupBy(*KEYS).agg(F.percentile_approx("d2", F.lit(share), F.lit(2000)).alias("cut")), "cuts")
-        kept = _beside(near, cut, few).where("d2 <= cut")
-        fits = stored(_whitened(kept.groupBy(*KEYS).agg(*moments)), "estimates")
+        near = _beside(rows, fits, few).withColumn("d2", _distance()).select(*keys, *FEATURES, "d2")
+        cut = stored(near.groupBy(*keys).agg(F.percentile_approx("d2", F.lit(share), F.lit(2000)).alias("cut")), "cuts")
+        before, fits = fits.select(*keys, F.col("logdet").alias("was")), whole(_beside(near, cut, few, keys).where("d2 <= cut").groupBy(*keys).agg(*moments))
+        change = _beside(fits, before, few, keys).agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
+        if (change or 0.0) <= SETTLED:
+            break
+    best = fits.groupBy(*KEYS).agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
+    fits = stored(_beside(fits, best, few, keys).drop("start", "logdet"), "estimates")
     mid = _beside(rows, fits, few).groupBy(*KEYS).agg(F.percentile_approx(_distance(), F.lit(0.5), F.lit(2000)).alias("mid"), F.count(F.lit(1)).alias("n"))
     return _beside(fits, mid.select(*KEYS, "n", F.greatest(F.col("mid") / CHI_MEDIAN, F.lit(1.0)).alias("scale")), few)
 
@@ -164,7 +188,7 @@ def judge(stats: DataFrame, bound: float = CHI_BOUND, min_group: int = MIN_GROUP
     sizes = stored(sizes.where(F.col("n") >= min_group), "groups")
     few = sizes.count() <= BROADCAST_GROUPS
     rows = _beside(good.select(F.explode(levels).alias("g"), *FEATURES).select("g.*", *FEATURES), sizes.drop("n"), few)
-    fits = stored(mcd(rows, few), "estimates")
+    fits = stored(mcd(rows, few, least=floors(full.where(~F.col("base_failed")))), "estimates")
 
     # Of a text's groups that have an estimate, the first counts.
     out, p = full, range(len(FEATURES))

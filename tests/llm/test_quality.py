@@ -74,3 +74,20 @@ def test_odd_rows_and_empty(odd, empty):
     assert quality.quality(odd).count() == odd.count()
     assert quality.quality(empty).count() == 0
     assert quality.keep_quality(empty).columns == empty.columns
+
+
+def test_spread_of_the_texts_decides(spark):
+    """Floors don't swamp the estimates: some six per cent of symbols go where no text has any, and stay where many do."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+
+    def make(share):
+        return " ".join(rng.choice(vocabulary) + ("|" if rng.random() < share else "") for _ in range(rng.randint(200, 400)))
+
+    rows = [(i, make(0), "en", "plain") for i in range(150)] + [(1000 + i, make(0.35), "en", "plain") for i in range(5)]
+    rows += [(2000 + i, make(rng.uniform(0, 0.5)), "en", "menus") for i in range(150)]
+    got = {r["id"]: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[i]["kept"] for i in range(1000, 1005)) and sum(not got[i]["kept"] for i in range(150)) == 0
+    assert sum(not got[i]["kept"] for i in range(2000, 2150)) <= 7
+    middle = sorted(got[i]["distance2"] for i in range(150))[75]
+    assert 0.1 < middle < 7
