@@ -28,6 +28,11 @@ def _words(text: Column) -> Column:
     return words(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS)
 
 
+def _key_case(text: Column) -> Column:
+    """lower() of a text or of one of its words, the same for both: only a capital sigma's form depends on what stands around it."""
+    return F.translate(F.lower(text), "\u03c2", "\u03c3")
+
+
 def _shingle(array: str, at: Column, size: int) -> Column:
     return F.xxhash64(*[F.get(F.col(array), at + i) for i in range(size)])
 
@@ -42,15 +47,15 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
 def prefixes(found: DataFrame) -> DataFrame:
     """size, shingle, at, window, items: each distinct window with its rarest shingle and the place of that in the window.
 
-    Shingles are hashes of words in lower(), which is cheaper than the lower-casing of A-Z alone and
-    leaves no match out; the windows are compared exactly.
+    Shingles are hashes of words in lower() with one form of the sigma, which is cheaper than the
+    lower-casing of A-Z alone and leaves no match out; the windows are compared exactly.
 
     Rarity is the number of windows that hold a shingle; ties go to the smaller hash. A window of fewer
     words than a shingle is its own shingle. A shingle that a window repeats counts where it comes first.
     """
     kinds = found.groupBy("window").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"))
     size = F.least(F.size("window"), F.lit(SHINGLE)).alias("size")
-    each = kinds.select("window", F.transform("window", lambda x: F.lower(x)).alias("low"), size, F.explode(F.sequence(F.lit(0), F.size("window") - F.least(F.size("window"), F.lit(SHINGLE)))).alias("at"))
+    each = kinds.select("window", F.transform("window", _key_case).alias("low"), size, F.explode(F.sequence(F.lit(0), F.size("window") - F.least(F.size("window"), F.lit(SHINGLE)))).alias("at"))
     value = F.lit(None).cast("long")
     for k in range(1, SHINGLE + 1):
         value = F.when(F.col("size") == k, _shingle("low", F.col("at"), k)).otherwise(value)
@@ -72,7 +77,7 @@ def contamination(docs: DataFrame, items: DataFrame, broadcast_bytes: int = BROA
     small = weight <= broadcast_bytes
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    split = docs.select("id", F.xxhash64(text).alias("mark"), words(F.lower(text), SEPARATORS).alias("w"), F.when(may_fold(text), words(text, RAW_SEPARATORS)).alias("raw"))
+    split = docs.select("id", F.xxhash64(text).alias("mark"), words(F.when(may_fold(text), _key_case(text)).otherwise(F.lower(text)), SEPARATORS).alias("w"), F.when(may_fold(text), words(text, RAW_SEPARATORS)).alias("raw"))
     # One more place than words: its row stands for the text itself, whether anything is found or not.
     places = split.select("id", "mark", "w", "raw", F.posexplode(F.array_append("w", F.lit(None).cast("string"))).alias("pos", "word")).withColumn("n", F.size("w"))
     found = None

@@ -71,3 +71,13 @@ def test_one_in_twenty(spark):
     df = spark.createDataFrame([(1, 20), (1, 21), (0, 0)], "h long, n long")
     assert [r[0] for r in df.select(is_contaminated(F.col("h"), F.col("n"))).collect()] == [True, False, False]
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_capital_sigma(spark, limit):
+    """Its lower-case form depends on what stands around it, so that of a text and those of its words may differ."""
+    docs = [(1, "Α.Σ. και"), (2, "η ΟΔΟΣ.Α και"), (3, "ΟΔΟΣ: α"), (4, "οδος οδοσ"), (5, "ς σ")]
+    items = [(1, "Σ"), (2, "ΟΔΟΣ"), (3, "ΟΔΟΣ'Α"), (4, "οδοσ"), (5, "Α Σ")]
+    got = run(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=limit)
+    assert got == brute(docs, items)
+    assert [r[3] for r in got] == ["1,5", "2,3", "2", "4", ""]
