@@ -66,52 +66,54 @@ def prefixes(found: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """One row per row of docs (columns id, text): id, mark (a hash of the text), n_words, n_hit, items (sorted, as strings).
+    """One row per row of docs (columns id, text): id, mark (a hash of the text), n_words, n_hit, longest, items (sorted, as strings).
 
     items has the columns item and text. n_hit counts the words of the text that lie inside any
-    occurrence of any window of an item.
+    occurrence of any window of an item; longest is the number of words of the longest such window, 0
+    without any. The windows of an item without an id hit like others, but it isn't among the items.
     """
     index = stored(prefixes(windows(items)), "prefixes")
-    sizes = [r["size"] for r in index.select("size").distinct().collect()]  # SHINGLE numbers at most
+    sizes = [r["size"] for r in index.select("size").distinct().collect()] or [SHINGLE]  # SHINGLE numbers at most
     weight = index.agg(F.sum(F.length(F.array_join("window", " ")) * 4 + F.length(F.array_join("items", " ")) + 64)).first()[0] or 0
-    small = weight <= broadcast_bytes
 
     text = F.coalesce(F.col("text"), F.lit(""))
     split = docs.select("id", F.xxhash64(text).alias("mark"), words(F.when(may_fold(text), _key_case(text)).otherwise(F.lower(text)), SEPARATORS).alias("w"), F.when(may_fold(text), words(text, RAW_SEPARATORS)).alias("raw"))
     # One more place than words: its row stands for the text itself, whether anything is found or not.
     places = split.select("id", "mark", "w", "raw", F.posexplode(F.array_append("w", F.lit(None).cast("string"))).alias("pos", "word")).withColumn("n", F.size("w"))
-    found = None
-    for k in sizes or [SHINGLE]:
-        own = index.where(F.col("size") == k).select("shingle", "at", "window", "items")
-        keyed = places.withColumn("key", F.when(F.col("pos") + k <= F.col("n"), _shingle("w", F.col("pos"), k)))
-        # Where lower() may have changed more than A-Z, the text's words as they were are compared.
-        own_words = lambda array, pos: F.slice(array, F.col(pos) - F.col("at") + 1, F.size("window"))
-        same = lambda pos: F.when(F.col("raw").isNull(), own_words("w", pos) == F.col("window")).otherwise(translated(F.array_join(own_words("raw", pos), " ")) == F.array_join("window", " "))  # noqa: E731,B023
-        fits = (F.col("pos") >= F.col("at")) & (F.col("pos") - F.col("at") + F.size("window") <= F.col("n"))
-        if small:
-            hit = keyed.join(F.broadcast(own), (F.col("key") == F.col("shingle")) & fits & same("pos"), "left")
-        else:
-            # Too many prefixes for every executor: places and prefixes meet by key, and the windows are compared where the texts are.
-            near = keyed.where("key is not null").select("id", "mark", "pos", "n", "key").join(own, (F.col("key") == F.col("shingle")) & fits)
-            near = near.select(F.col("id").alias("i"), F.col("mark").alias("m"), F.col("pos").alias("p"), "at", "window", "items").distinct()
-            joined = split.dropDuplicates(["id", "mark"]).join(near, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")))
-            true = joined.where(same("p")).select("id", "mark", F.col("p").alias("pos"), F.size("w").alias("n"), "at", "window", "items")
-            none = own.select("at", "window", "items").schema
-            texts = places.where(F.col("pos") == F.col("n")).select("id", "mark", "pos", "n", *[F.lit(None).cast(f.dataType).alias(f.name) for f in none])
-            hit = true.unionByName(texts)
-        end = F.col("pos") == F.col("n")
-        keep = F.col("window").isNotNull() | (end if found is None else F.lit(False))
-        part = hit.where(keep).select("id", "mark", "n", F.when(F.col("window").isNotNull(), F.col("pos") - F.col("at")).alias("lo"), F.when(F.col("window").isNotNull(), F.col("pos") - F.col("at") + F.size("window")).alias("hi"), F.col("items").alias("own"), (end & F.lit(found is None)).cast("long").alias("texts"))
-        found = part if found is None else found.unionByName(part)
+    end = F.col("pos") == F.col("n")
+    key = lambda k: F.when(F.col("pos") + k <= F.col("n"), _shingle("w", F.col("pos"), k))
+    if len(sizes) == 1:
+        keyed = places.withColumn("k", F.lit(sizes[0])).withColumn("key", key(sizes[0]))
+    else:  # short items bring shorter shingles: a place then has a key for each size, in one pass over the texts
+        each = F.array(*[F.struct(F.lit(k).alias("k"), key(k).alias("key")) for k in sizes])
+        own_keys = F.explode(F.when(end, F.slice(each, 1, 1)).otherwise(F.filter(each, lambda e: e["key"].isNotNull())))
+        keyed = places.withColumn("e", own_keys).select("id", "mark", "w", "raw", "pos", "n", "e.k", "e.key")
+    # Where lower() may have changed more than A-Z, the text's words as they were are compared.
+    run = lambda array: F.slice(array, F.col("pos") - F.col("at") + 1, F.size("window"))
+    same = F.when(F.col("raw").isNull(), run("w") == F.col("window")).otherwise(translated(F.array_join(run("raw"), " ")) == F.array_join("window", " "))
+    fits = (F.col("pos") >= F.col("at")) & (F.col("pos") - F.col("at") + F.size("window") <= F.col("n"))
+    meets = (F.col("key") == F.col("shingle")) & (F.col("k") == F.col("size")) & fits
+    if weight <= broadcast_bytes:
+        hit = keyed.join(F.broadcast(index), meets & same, "left").where(F.col("window").isNotNull() | end)
+    else:
+        # Too many prefixes for every executor: places and prefixes meet by key, and the windows are compared where the texts are.
+        near = keyed.where("key is not null").select("id", "mark", "pos", "n", "k", "key").join(index, meets)
+        near = near.select(F.col("id").alias("i"), F.col("mark").alias("m"), "pos", "at", "window", "items").distinct()
+        joined = split.dropDuplicates(["id", "mark"]).join(near, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")))
+        true = joined.where(same).select("id", "mark", "pos", F.size("w").alias("n"), "at", "window", "items")
+        hit = true.unionByName(places.where(end).select("id", "mark", "pos", "n"), allowMissingColumns=True)
+    # A row without a window only says that there is such a text; one at the end may do so and have none.
+    lo, found = F.col("pos") - F.col("at"), F.col("window").isNotNull()
+    rows = hit.select("id", "mark", "n", F.when(found, lo).alias("lo"), F.when(found, lo + F.size("window")).alias("hi"), F.col("items").alias("own"), end.cast("long").alias("texts"))
 
     # Rows of one text, by where their window starts: each adds the words that no earlier one reaches.
     before = Window.partitionBy("id", "mark").orderBy(F.col("lo").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    grown = found.withColumn("new", F.greatest(F.col("hi") - F.greatest(F.col("lo"), F.coalesce(F.max("hi").over(before), F.lit(0))), F.lit(0)))
+    grown = rows.withColumn("new", F.greatest(F.col("hi") - F.greatest(F.col("lo"), F.coalesce(F.max("hi").over(before), F.lit(0))), F.lit(0)))
     by_text = grown.groupBy("id", "mark").agg(
-        F.max("n").alias("n_words"), F.sum(F.coalesce("new", F.lit(0))).alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("own"))).alias("items"), F.sum("texts").alias("texts")
+        F.max("n").alias("n_words"), F.sum(F.coalesce("new", F.lit(0))).alias("n_hit"), F.coalesce(F.max(F.col("hi") - F.col("lo")), F.lit(0)).alias("longest"), F.array_distinct(F.flatten(F.collect_set("own"))).alias("items"), F.sum("texts").alias("texts")
     )
-    rows = by_text.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("texts").cast("int"))))
-    return rows.select("id", "mark", F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), F.sort_array("items").alias("items"))
+    copies = by_text.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("texts").cast("int"))))
+    return copies.select("id", "mark", F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), "longest", F.sort_array("items").alias("items"))
 
 
 #: Of a contaminated text, at least one word in so many is hit.
@@ -123,13 +125,15 @@ def is_contaminated(n_hit: Column, n_words: Column, one_in: int = ONE_IN) -> Col
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that aren't contaminated by items.
+    """The rows of docs, all columns, without those that hold a passage of items.
 
+    A text goes if a window of at least SHINGLE words occurs in it, however long it is, or if it is
+    contaminated. Items of fewer words (a single common word, say) only count by the share of words hit.
     Null and empty texts have no words and stay, as do all texts if items is empty. Rows are judged by
     their text, so ids may repeat or be null. Items with a null or blank text have no window.
     """
     found = contamination(pick(docs, id=id_col, text=text_col), pick(items, item=item_col, text=item_text))
-    bad = found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select("id", "mark").distinct()
+    bad = found.where((F.col("longest") >= SHINGLE) | is_contaminated(F.col("n_hit"), F.col("n_words"))).select("id", "mark").distinct()
     i, t = docs.columns.index(id_col), docs.columns.index(text_col)
     rows = numbered(docs)
     kept = rows.join(bad, F.col(f"c{i}").eqNullSafe(F.col("id")) & (F.xxhash64(F.coalesce(f"c{t}", F.lit(""))) == F.col("mark")), "left_anti")

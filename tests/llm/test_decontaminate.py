@@ -81,3 +81,15 @@ def test_capital_sigma(spark, limit):
     got = run(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=limit)
     assert got == brute(docs, items)
     assert [r[3] for r in got] == ["1,5", "2,3", "2", "4", ""]
+
+
+def test_long_texts_lose_no_passage(spark):
+    """A passage in a long text is less than one word in twenty and still rejects it; a short item's word doesn't."""
+    filler = " ".join(f"w{i}" for i in range(2000))
+    item = " ".join(f"item{i}" for i in range(20))
+    rows = [(1, f"{filler} {item} {filler}"), (2, f"{filler} single {filler}"), (3, filler), (4, "single"), (5, None), (6, f"{filler} {' '.join(item.split()[:12])}")]
+    items = spark.createDataFrame([(1, item), (2, "single"), (None, "five words of one item")], "item_id long, text string")
+    docs = spark.createDataFrame([*rows, (7, f"{filler} five words of one item")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in decontaminate(docs, items).collect()) == [2, 3, 5, 6]
+    got = {r["id"]: (r["n_hit"], r["longest"], r["items"]) for r in contamination(pick(docs, id="doc_id", text="text"), pick(items, item="item_id", text="text")).collect()}
+    assert got[1] == (20, 13, ["1"]) and got[2] == (1, 1, ["2"]) and got[7] == (5, 5, []) and got[5] == (0, 0, [])
