@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import SPACE_CHARS, ascii_lower_key, numbered, table
+from lodestrata.llm.common import SPACE_CHARS, ascii_lower_key, numbered, stored, table
 
 
 def _digest(key: Column) -> Column:
@@ -25,18 +25,40 @@ def _lines(src: DataFrame, min_chars: int) -> DataFrame:
     return exploded.where(F.char_length(key) >= min_chars).select("id", "mark", "pos", _digest(ascii_lower_key(key)).alias("digest"))
 
 
+#: A digest with more lines than this, and with more than one in so many of all shared lines, is dealt over several tasks.
+HOT_LINES, HOT_SHARE = 1_000, 100_000
+
+
 def shared_lines(lines: DataFrame, min_docs: int) -> DataFrame:
-    """digest, keep: the digests found in at least min_docs documents, with the smallest id that holds each."""
+    """digest, keep, n: the digests found in at least min_docs documents, with the smallest id that holds each and their number of lines."""
+    found = [F.min("id").alias("keep"), F.max("id").alias("most"), F.max(F.col("id").isNull()).alias("nulls"), F.count(F.lit(1)).alias("n")]
     if min_docs > 2:
-        lines = lines.select("digest", "id").distinct()
-    found = lines.groupBy("digest").agg(F.min("id").alias("keep"), F.max("id").alias("most"), F.max(F.col("id").isNull()).alias("nulls"), F.count(F.lit(1)).alias("n"))
-    if min_docs > 2:
-        return found.where(F.col("n") >= min_docs).select("digest", "keep")
-    return found.where((F.col("keep") != F.col("most")) | (F.col("nulls") & F.col("keep").isNotNull())).select("digest", "keep")
+        by_doc = lines.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("own"))
+        kinds = by_doc.groupBy("digest").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("docs"), F.sum("own").alias("n"))
+        return kinds.where(F.col("docs") >= min_docs).select("digest", "keep", "n")
+    several = (F.col("keep") != F.col("most")) | (F.col("nulls") & F.col("keep").isNotNull())
+    return lines.groupBy("digest").agg(*found).where(several).select("digest", "keep", "n")
+
+
+def _drops(lines: DataFrame, shared: DataFrame) -> DataFrame:
+    """id, mark, drops: the places of the lines that go.
+
+    The lines of a very common digest would meet in one task; each such digest is copied into parts, and its
+    lines are dealt over these. At most HOT_SHARE digests are that common, so they are few enough to broadcast.
+    """
+    shared = stored(shared, "shared-lines")
+    limit = max(HOT_LINES, (shared.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    parts = F.ceil(F.col("n") / limit).cast("int")
+    hot = F.broadcast(shared.where(F.col("n") > limit).select(F.col("digest").alias("hot"), parts.alias("parts")))
+    part = F.pmod(F.xxhash64("id", "mark", "pos"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = lines.join(hot, F.col("digest") == F.col("hot"), "left").select("id", "mark", "pos", "digest", part.alias("part"))
+    copies = shared.select("digest", "keep", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    gone = dealt.join(copies, ["digest", "part"]).where(~F.col("id").eqNullSafe(F.col("keep")))
+    return gone.groupBy(F.col("id").alias("d_id"), F.col("mark").alias("d_mark")).agg(F.collect_set("pos").alias("drops"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
-    """All rows and columns of docs, the texts without repeated lines, and two columns more: n_lines (before) and n_dropped.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, counts: bool = True) -> DataFrame:
+    """All rows and columns of docs, the texts without repeated lines, and with counts two columns more: n_lines (before) and n_dropped.
 
     A line's key is the line stripped of ASCII white space, A-Z lower-cased. Keys of at least min_chars
     characters that at least min_docs documents hold keep all their lines in the document with the
@@ -44,28 +66,30 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null or empty text: one empty line, so "". A null id is a document of its own that sorts last. Rows
     that repeat an id are one document; each of them is returned. A document may repeat its own lines.
-    Input columns called n_lines or n_dropped are replaced. An empty table gives an empty table.
+    With counts, input columns called n_lines or n_dropped are replaced; without, they stay as they are.
+    An empty table gives an empty table.
     """
     at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
     whole = numbered(docs).withColumns({"id": F.col(f"c{at_id}"), "text": F.coalesce(F.col(f"c{at_text}"), F.lit(""))}).withColumn("mark", F.xxhash64("text"))
     lines = _lines(whole.select("id", "mark", "text"), min_chars)
-    shared = shared_lines(lines, min_docs)
-    drops = lines.join(shared, "digest").where(~F.col("id").eqNullSafe(F.col("keep"))).groupBy("id", "mark").agg(F.collect_set("pos").alias("drops"))
-    drops = drops.select(F.col("id").alias("d_id"), F.col("mark").alias("d_mark"), "drops")
+    drops = _drops(lines, shared_lines(lines, min_docs))
 
-    joined = whole.join(drops.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("d_id")) & (F.col("mark") == F.col("d_mark")), "left")
+    joined = whole.join(drops, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("mark") == F.col("d_mark")), "left")
     n_lines = F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     stay = F.array_except(F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1), F.col("drops"))
     # The array of lines is bound to a variable once, so that it isn't split again for each position.
     rebuilt = F.get(F.transform(F.array(F.split("text", "\n")), lambda line: F.array_join(F.transform(stay, lambda i: F.get(line, i)), "\n")), F.lit(0))
     out = joined.withColumn("n_lines", n_lines.cast("long")).withColumn("kept", F.when(F.col("drops").isNull(), F.col("text")).otherwise(rebuilt))
-    columns = [F.col("kept" if i == at_text else f"c{i}").alias(name) for i, name in enumerate(docs.columns) if name not in ("n_lines", "n_dropped")]
-    return out.select(*columns, "n_lines", F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"))
+    columns = [F.col("kept" if i == at_text else f"c{i}").alias(name) for i, name in enumerate(docs.columns) if not counts or name not in ("n_lines", "n_dropped")]
+    return out.select(*columns, *([F.col("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped")] if counts else []))
 
 
 def recounted(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """docs with the column that counts the text's characters, if there is one, counted again."""
-    return docs.withColumn(chars_col, F.char_length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else docs
+    if chars_col not in docs.columns:
+        return docs
+    at, text, rows = docs.columns.index(chars_col), docs.columns.index(text_col), numbered(docs)
+    return rows.withColumn(f"c{at}", F.char_length(f"c{text}").cast(docs.schema[at].dataType)).toDF(*docs.columns)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

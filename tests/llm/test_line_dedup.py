@@ -55,3 +55,19 @@ def test_other_letters_keep_their_case(spark):
     rows = [(1, "ÄRGER über alles"), (2, "ärger über alles"), (3, "ÄRGER ÜBER alles"), (4, "ÄRGER über ALLES"), (5, "Kelvin degrees"), (6, "kelvin degrees"), (7, "İstanbul ist gross"), (8, "İSTANBUL IST GROSS")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert run(df) == brute(rows)
+
+
+def test_common_lines_are_dealt_out(docs, corpus, monkeypatch):
+    from lodestrata.llm import line_dedup as module
+
+    monkeypatch.setattr(module, "HOT_LINES", 3)
+    monkeypatch.setattr(module, "HOT_SHARE", 10**9)
+    rows = [(i, t) for i, t, *_ in corpus]
+    assert run(docs) == brute(rows)
+    assert run(docs, min_docs=3) == brute(rows, min_docs=3)
+
+
+def test_without_counts_columns_stay(odd):
+    out = line_dedup(odd, counts=False)
+    assert out.columns == odd.columns
+    assert sorted(str((r["doc_id"], r["n_lines"], r["c.0"])) for r in out.collect()) == sorted(str((r["doc_id"], r["n_lines"], r["c.0"])) for r in odd.collect())
