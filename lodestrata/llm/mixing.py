@@ -8,17 +8,22 @@ consecutive blocks of that order from a seeded block on. Texts are never moved,
 
 from __future__ import annotations
 
+import heapq
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import numbered, pick, stored, table, words
 
 #: Weights of the sources in the order of their names, repeating; and how often a source may be used.
 WEIGHTS, REPEATS = (5, 2, 1), 3
-#: Words in a block; words that a shard should have.
-BLOCK, SHARD = 100, 2_000_000
+#: Words in a block; words and documents that a shard should have at most.
+BLOCK, SHARD, SHARD_ROWS = 100, 500_000, 2_048
+#: A source is cut into no more shards than this; beyond, its shards grow. One task apportions a source's blocks to its shards.
+MAX_SHARDS = 1 << 16
 #: More sources than this are refused: their table is worked on in the driver.
 MAX_SOURCES = 1_000_000
 
@@ -48,20 +53,20 @@ def targets(sizes: list[int], weights: list[int], repeats: int = REPEATS) -> lis
 def sainte_lague(shares: list[float], seats: int) -> list[int]:
     """Seats for each share by the highest quotients share / 1, 3, 5 ...; equal quotients go to the earlier share.
 
-    A share s has round(s / d) seats for a divisor d. The divisor that hands out too few seats is found
-    by halving, and the last few seats go one at a time.
+    A share s has round(s / d) seats for a divisor d. The least divisor that hands out no seat too many is
+    found by halving; it is enlarged by a hair, so that every seat that it gives lies above all that are
+    left, and these go one at a time by their quotients.
     """
-    total = sum(shares)
-    if not seats or not total:
+    own = np.array(shares, float)
+    total = own.sum() if len(own) else 0.0
+    if seats <= 0 or not total:
         return [0] * len(shares)
-    given = lambda d: [int(s / d + 0.5) for s in shares]
-    low, high = total / (seats + len(shares) + 1), 4 * total / seats + max(shares) * 4
-    for _ in range(200):
+    given = lambda d: np.floor(own / d + 0.5)
+    low, high = total / (seats + len(own) + 1), 4 * total / seats + own.max() * 4
+    while low * (1 + 1e-14) < high:
         mid = (low + high) / 2
-        low, high = (low, mid) if sum(given(mid)) <= seats else (mid, high)
-    out = given(high)
-    import heapq
-
+        low, high = (low, mid) if given(mid).sum() <= seats else (mid, high)
+    out = given(high * (1 + 1e-9)).astype(np.int64).tolist()
     heap = [(-s / (2 * n + 1), i) for i, (s, n) in enumerate(zip(shares, out, strict=True))]
     heapq.heapify(heap)
     for _ in range(seats - sum(out)):
@@ -72,23 +77,19 @@ def sainte_lague(shares: list[float], seats: int) -> list[int]:
 
 
 def _apportion_shards(shards: DataFrame) -> DataFrame:
-    """shards (src, shard, words, blocks of the source) with quota: blocks for each shard.
+    """src, shard, words, quota: the blocks that each shard gets of its source's. shards: src, shard, words, blocks (the source's).
 
-    Within a source the quotients are words / 1, 3, 5 ...: each shard first gets the seats that all
-    quotients above a common bound give it, and the few left go by the next quotients.
+    A source has at most MAX_SHARDS shards, and a task works on the few numbers of one source's shards.
     """
-    whole = Window.partitionBy("src")
-    share = shards.withColumn("exact", F.col("words") * F.col("blocks") / F.greatest(F.sum("words").over(whole), F.lit(1)))
-    base = share.withColumn("base", F.greatest(F.floor(F.col("exact") - 0.5), F.lit(0)).cast("long"))
-    base = base.withColumn("open", F.col("blocks") - F.sum("base").over(whole))
-    # Sainte-Laguë stays so near to proportion that each shard's last seats are among its next few quotients.
-    next_ = base.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("quotient", F.col("words") / (2 * (F.col("base") + F.col("k")) + 1))
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("quotient"), "shard", "k"))
-    won = next_.withColumn("rank", rank).where(F.col("rank") <= F.col("open")).groupBy("src", "shard").agg(F.count(F.lit(1)).alias("won"))
-    return base.join(won, ["src", "shard"], "left").select("src", "shard", "words", (F.col("base") + F.coalesce("won", F.lit(0))).alias("quota"))
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK, shard: int = SHARD, seed: int = 10) -> DataFrame:
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("shard")
+        return part.assign(quota=sainte_lague(part["words"].tolist(), int(part["blocks"].iloc[0])))[["src", "shard", "words", "quota"]]
+
+    return shards.groupBy("src").applyInPandas(run, "src string, shard int, words long, quota long")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK, shard: int = SHARD, shard_rows: int = SHARD_ROWS, seed: int = 10) -> DataFrame:
     """One row per row of docs: id, source, size, source_size, target, taken.
 
     size is the number of the text's words; null and blank texts have none, and none is taken of them.
@@ -102,7 +103,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .select("id", F.col("source").cast("string").alias("source"), F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col("id"), F.col("text")).alias("order")),
         "sizes",
     )
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     rows = by_source.limit(MAX_SOURCES + 1).collect()  # a table of sources, refused if it isn't small
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -110,18 +111,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = [r["source_size"] for r in rows]
     goals = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], repeats)
     quotas = sainte_lague(goals, round(sum(sizes) / block))
+    # Documents without words take room as well, so rows count as words do.
+    shards = [min(MAX_SHARDS, max(1, -(-r["source_size"] // shard), -(-r["n"] // shard_rows))) for r in rows]
     plan = docs.sparkSession.createDataFrame(
-        [(r["source"], s, g, min(q, repeats * s // block), max(1, -(-s // shard)), g >= repeats * s) for r, s, g, q in zip(rows, sizes, goals, quotas, strict=True)], "src string, source_size long, target double, blocks long, shards int, full boolean"
+        [(r["source"], s, g, min(q, repeats * s // block), k, g >= repeats * s) for r, s, g, q, k in zip(rows, sizes, goals, quotas, shards, strict=True)], "src string, source_size long, target double, blocks long, shards int, full boolean"
     )
     plan = F.broadcast(plan) if len(rows) <= 10_000 else plan
     dealt = sized.join(plan, F.col("source").eqNullSafe(F.col("src"))).withColumn("shard", F.pmod(F.xxhash64("order"), F.col("shards")).cast("int")).drop("src")
 
     parts = dealt.groupBy(F.col("source").alias("src"), "shard").agg(F.sum("size").alias("words"), F.max("blocks").alias("blocks"))
     quota = _apportion_shards(parts).select("src", F.col("shard").alias("part"), "words", F.least(F.col("quota") * block, F.col("words") * repeats).alias("quota"))
-    # A source whose target is all that it may give is used in full, whatever is left over after its last block.
+    if sum(shards) <= 100_000:
+        quota = F.broadcast(quota)
     joined = dealt.join(quota, F.col("source").eqNullSafe(F.col("src")) & (F.col("shard") == F.col("part")))
     order = Window.partitionBy("source", "shard").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = joined.withColumn("lo", F.coalesce(F.sum("size").over(order), F.lit(0))).withColumn("hi", F.col("lo") + F.col("size"))
+    # A source whose target is all that it may give is used in full, whatever is left over after its last block.
     start = start.withColumn("quota", F.when(F.col("full"), F.col("words") * repeats).otherwise(F.col("quota")))
     passes, rest = F.floor(F.col("quota") / F.greatest("words", F.lit(1))).cast("long"), F.pmod(F.col("quota"), F.greatest("words", F.lit(1)))
     first = F.pmod(F.xxhash64(F.lit(seed), F.col("source"), F.col("shard")), F.greatest(F.ceil(F.col("words") / block), F.lit(1))) * block

@@ -64,6 +64,57 @@ def test_shards_follow_the_highest_quotients(spark):
         assert [r["quota"] for r in sorted((r for r in got if r["src"] == s), key=lambda r: r["shard"])] == seats
 
 
+def test_skewed_shards(spark):
+    """One shard of half the words beside many small ones: rounding shares to their neighbours isn't enough."""
+    rng = random.Random(4)
+    tables = [([94900] + [51] * 100, 1000), ([10**6] + [1] * 50, 777), ([3, 1] * 40, 61), ([0, 0, 5], 9), ([rng.randint(0, 10 ** rng.randint(1, 6)) for _ in range(300)], 2000)]
+    rows = [(f"s{k}", i, w, n) for k, (own, n) in enumerate(tables) for i, w in enumerate(own)]
+    got = mixing._apportion_shards(spark.createDataFrame(rows, "src string, shard int, words long, blocks long")).collect()
+    for k, (own, n) in enumerate(tables):
+        found = [r["quota"] for r in sorted((r for r in got if r["src"] == f"s{k}"), key=lambda r: r["shard"])]
+        assert found == brute_seats([float(w) for w in own], n)
+    assert max(r["quota"] for r in got if r["src"] == "s0") == 930
+
+
+def brute_mix(df, block, shard, shard_rows, seed=10):
+    """(id, source, size, taken) of all rows, one word of each pass at a time; only the seeded hashes come from Spark."""
+    from pyspark.sql import functions as F
+
+    rows = [(r["doc_id"], r["source"], size(r["text"]), r["o"], r["m"]) for r in df.select("doc_id", "source", "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("o"), F.xxhash64(F.xxhash64(F.lit(seed), "doc_id", "text")).alias("m")).collect()]
+    names = sorted({r[1] for r in rows}, key=lambda s: (s is None, (s or "").encode()))
+    sizes = [sum(r[2] for r in rows if r[1] == s) for s in names]
+    goals = brute_targets(sizes, [mixing.WEIGHTS[i % 3] for i in range(len(names))])
+    quotas = brute_seats(goals, round(sum(sizes) / block)) if any(goals) else [0] * len(names)
+    out = []
+    for s, whole, goal, blocks in zip(names, sizes, goals, quotas, strict=True):
+        own = [r for r in rows if r[1] == s]
+        n = max(1, -(-whole // shard), -(-len(own) // shard_rows))
+        dealt = [sorted((r for r in own if r[4] % n == k), key=lambda r: (r[3], r[0] is not None, r[0] or 0, r[2])) for k in range(n)]
+        held = [k for k in range(n) if dealt[k]]
+        totals = [sum(r[2] for r in dealt[k]) for k in held]
+        seats = brute_seats([float(t) for t in totals], min(blocks, 3 * whole // block)) if any(totals) else [0] * len(held)
+        starts = df.sparkSession.createDataFrame([(s, k) for k in range(n)], "s string, k int").select("k", F.xxhash64(F.lit(seed), "s", "k").alias("h")).collect()
+        start = {r["k"]: r["h"] for r in starts}
+        for k, total, q in zip(held, totals, seats, strict=True):
+            quota = 3 * total if goal >= 3 * whole else min(q * block, 3 * total)
+            takes = [quota // total if total else 0] * total
+            begin = (start[k] % max(1, -(-total // block))) * block
+            for x in range(quota % total if total else 0):
+                takes[(begin + x) % total] += 1
+            at = 0
+            for r in dealt[k]:
+                out.append((str(r[0]), str(s), r[2], sum(takes[at : at + r[2]])))
+                at += r[2]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block, shard, shard_rows", [(10, 500, 10**6), (7, 10**6, 5), (100, 10**6, 10**6)])
+def test_taken_against_brute_force(docs, odd, block, shard, shard_rows):
+    for df in (docs, odd):
+        got = mixing.mix(df, block=block, shard=shard, shard_rows=shard_rows).collect()
+        assert sorted((str(r["id"]), str(r["source"]), r["size"], r["taken"]) for r in got) == brute_mix(df, block, shard, shard_rows)
+
+
 def check(df, block, shard):
     got = mixing.mix(df, block=block, shard=shard).collect()
     text = {}
