@@ -111,8 +111,8 @@ def _ball(radius: int) -> list[int]:
 def close_links(fps: DataFrame, distance: int = 4, dense: int = DENSE) -> DataFrame:
     """a, b: links between the distinct fingerprints fp that give the components of all pairs within distance.
 
-    Every row links fingerprints that are within distance, directly or through a point that is within
-    half of it from both. From buckets of at most dense fingerprints come all close pairs.
+    Every row links fingerprints that are within distance. From buckets of at most dense fingerprints come
+    all close pairs, from larger ones as many links as connect them.
     """
     masks = _masks(n_blocks(fps.count(), distance), distance)
     keys = F.array(*[F.struct(F.lit(i).cast("short").alias("no"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
@@ -125,19 +125,22 @@ def close_links(fps: DataFrame, distance: int = 4, dense: int = DENSE) -> DataFr
     left, right = few.select("no", "key", F.col("fp").alias("a")), few.select("no", "key", F.col("fp").alias("b"))
     pairs = left.join(right, ["no", "key"]).where((F.col("a") < F.col("b")) & near).select("a", "b")
 
-    # Two fingerprints within distance have a point within half of it from each; two that share such a point are within distance.
-    half = distance // 2
-    points = F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(m)) for m in _ball(half)])) if distance % 2 == 0 else None
     many = crowd.where(F.col("n") > dense).select("fp").distinct()
-    if points is None or many.isEmpty():
-        wide = None if points is not None else crowd.where(F.col("n") > dense)
-        if wide is not None:
-            left, right = wide.select("no", "key", F.col("fp").alias("a")), wide.select("no", "key", F.col("fp").alias("b"))
-            pairs = pairs.unionAll(left.join(right, ["no", "key"]).where((F.col("a") < F.col("b")) & near).select("a", "b"))
-        return pairs.distinct()
-    around = many.select("fp", points.alias("point")).groupBy("point").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("own")).where(F.size("own") > 1)
-    through = around.select("a", F.explode("own").alias("b")).where("a <> b")
-    return pairs.unionAll(through).distinct()
+    return (pairs if many.isEmpty() else pairs.unionAll(links_through_points(many, distance))).distinct()
+
+
+def links_through_points(many: DataFrame, distance: int) -> DataFrame:
+    """a, b: links that connect what all pairs of many (fp) within distance connect, from rows that don't depend on how many are close.
+
+    Two fingerprints within distance have a point that is within half of it from one and within the rest
+    from the other, and two that have such a point are within distance. All that have a point are linked
+    to one that is within the smaller half of it.
+    """
+    low, high = distance // 2, distance - distance // 2
+    masks, near = F.lit(np.array(_ball(high), np.int64)), F.bit_count(F.col("mask")) <= low
+    each = many.select("fp", F.explode(masks).alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("point"), "fp", near.alias("near"))
+    around = each.groupBy("point").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("a"), F.collect_list("fp").alias("own")).where(F.col("a").isNotNull() & (F.size("own") > 1))
+    return around.select("a", F.explode("own").alias("b")).where("a <> b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, distance: int = 4) -> DataFrame:
@@ -170,7 +173,7 @@ def layout(n: int, similarity: float, recall: float = 0.9995) -> tuple[int, int,
     for six standard deviations, as candidates are verified by their sets.
     """
     p = acos(2 * similarity / (1 + similarity)) / pi
-    bits = min(28, max(16, ceil(log2(max(n, 2))) - 2))
+    bits = min(BITS, max(16, ceil(log2(max(n, 2))) - 2))
     blocks = ceil(log(1 - recall) / log(1 - (1 - p) ** bits))
     per = BITS // bits
     words = ceil(blocks / per)
@@ -222,29 +225,30 @@ def prefix_keys(own: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame, size: int, words: int, similarity: float) -> DataFrame:
-    """id, kind (a digest of the set of shingles), f (its fingerprint as bigints) and keys (prefix_keys()) of docs' id and text."""
+    """id, mark, kind (a digest of the set of shingles), f (its fingerprint as bigints) and keys (prefix_keys()) of docs' id, mark and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, found, keys = [], [], []
-            for x in batch.column(1):
+            for x in batch.column(2):
                 own = shingles(x.as_py(), size)
                 kinds.append(hashlib.blake2b(own.astype("<u8").tobytes(), digest_size=16).digest())
                 found.append(wide_fingerprint(own, words).view(np.int64))
                 keys.append(prefix_keys(own, similarity))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["id", "kind", "f", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["id", "mark", "kind", "f", "keys"])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, kind binary, f array<bigint>, keys array<bigint>")
+    return docs.select("id", "mark", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, mark bigint, kind binary, f array<bigint>, keys array<bigint>")
 
 
-def forest(nodes: np.ndarray, prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links (fewer than nodes) that connect what all pairs within distance connect; a node once reached is compared no more."""
+def forest(nodes: np.ndarray, prints: np.ndarray, distance: int, first: int = 2 * BITS) -> list[tuple[int, int]]:
+    """Links (fewer than nodes) that connect what all pairs within distance, and within first in their first two words, connect; a node once reached is compared no more."""
     open_, links = np.arange(len(nodes)), []
     while len(open_):
         queue, open_ = [open_[0]], open_[1:]
         while queue and len(open_):
             q = queue.pop()
-            near = np.bitwise_count(prints[open_] ^ prints[q]).sum(axis=1) <= distance
+            apart = np.bitwise_count(prints[open_] ^ prints[q])
+            near = (apart.sum(axis=1) <= distance) & (apart[:, :2].sum(axis=1) <= first)
             links += [(int(nodes[q]), int(nodes[x])) for x in open_[near]]
             queue += list(open_[near])
             open_ = open_[~near]
@@ -297,7 +301,8 @@ def candidate_links(kinds: DataFrame, layout_: tuple[int, int, int, int], simila
     # The first 128 bits tell most of the unrelated ones apart; sets found by a shared shingle need no such test.
     side = lambda node, s, t: light.select("key", F.col("node").alias(node), F.col("s").alias(s), F.col("t").alias(t))
     apart = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) + F.bit_count(F.col("x2").bitwiseXOR(F.col("y2")))
-    near = (apart <= _reach(2 * BITS, acos(2 * similarity / (1 + similarity)) / pi)) | (F.col("key") < 0)
+    first = _reach(2 * BITS, acos(2 * similarity / (1 + similarity)) / pi)
+    near = (apart <= first) | (F.col("key") < 0)
     pairs = side("a", "x", "x2").join(side("b", "y", "y2"), "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
     prints = kinds.select("node", "f")
     both = pairs.join(prints.select(F.col("node").alias("a"), F.col("f").alias("fa")), "a").join(prints.select(F.col("node").alias("b"), F.col("f").alias("fb")), "b")
@@ -308,7 +313,8 @@ def candidate_links(kinds: DataFrame, layout_: tuple[int, int, int, int], simila
 
     def connect(part: pd.DataFrame) -> pd.DataFrame:
         nodes = part["node"].to_numpy()
-        return pd.DataFrame(forest(nodes, np.stack(part["f"].to_numpy()).astype(np.int64).view(np.uint64), distance), columns=["a", "b"], dtype="int64")
+        prints = np.stack(part["f"].to_numpy()).astype(np.int64).view(np.uint64)
+        return pd.DataFrame(forest(nodes, prints, distance, 2 * BITS if part["key"].iloc[0] < 0 else first), columns=["a", "b"], dtype="int64")
 
     thick = entries.join(few, "key").select("key", "node", F.ceil(F.col("n") / _PART).cast("int").alias("parts"))
     thick = thick.withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -317,15 +323,15 @@ def candidate_links(kinds: DataFrame, layout_: tuple[int, int, int, int], simila
 
 
 def verified_links(own: DataFrame, roots: DataFrame, size: int, similarity: float, part_chars: int = _PART_CHARS) -> DataFrame:
-    """a, b: links between documents of own (id, text) under the same root (node, root) that connect what all pairs of sets of at least the similarity connect."""
+    """a, b: links between texts of own (node, text) under the same root (node, root) that connect what all pairs of sets of at least the similarity connect."""
 
     def connect(part: pd.DataFrame) -> pd.DataFrame:
         sets = [shingles(x, size) for x in part["text"]]
         some = [k for k, x in enumerate(sets) if len(x)]
         return pd.DataFrame(verified_forest(part["node"].to_numpy()[some], [sets[k] for k in some], similarity), columns=["a", "b"], dtype="int64")
 
-    texts = own.join(roots, F.col("id") == F.col("node")).select("root", "node", F.coalesce("text", F.lit("")).alias("text"))
-    sums = own.select("id", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).join(roots, F.col("id") == F.col("node"))
+    texts = own.join(roots, "node").select("root", "node", F.coalesce("text", F.lit("")).alias("text"))
+    sums = own.select("node", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).join(roots, "node")
     parts = sums.groupBy("root").agg(F.greatest(F.ceil(F.sum("chars") / part_chars), F.lit(1)).cast("int").alias("parts"))
     each = texts.join(parts, "root").withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     each = each.select("root", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "text")
@@ -333,33 +339,37 @@ def verified_links(own: DataFrame, roots: DataFrame, size: int, similarity: floa
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, dense: int = WIDE_DENSE, part_chars: int = _PART_CHARS) -> DataFrame:
-    """id, component: for every row of docs with an id, the smallest id that links of at least the similarity reach.
+    """id, mark, component: for every row of docs with an id, the smallest id that links of at least the similarity reach from its text.
 
     The similarity is the Jaccard coefficient of the sets of shingles; fingerprints give the candidates,
-    and every link is verified. Ids are bigints; rows that repeat an id are one document. Texts without
-    words are equal. Fingerprints of buckets with more than dense, and texts of large groups of
-    candidates, are compared part by part, which takes bounded memory and gives fewer links than documents.
+    and every link is verified. Ids are of any type that has an order; mark is a hash of the text, so rows
+    that repeat an id are each judged by their own. Texts without words are equal. Fingerprints of buckets
+    with more than dense, and texts of large groups of candidates, are compared part by part, which takes
+    bounded memory and gives fewer links than documents; the same two tests hold for every pair.
     """
-    own = pick(docs, id=id_col, text=text_col).where(F.col("id").isNotNull()).withColumn("id", F.col("id").cast("long"))
+    own = pick(docs, id=id_col, text=text_col).where(F.col("id").isNotNull()).withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
     plan = layout(own.count(), similarity)
     marked = stored(wide_fingerprints(own, size, plan[2], similarity), "fingerprints")
-    kinds = stored(marked.groupBy("kind", "f", "keys").agg(F.min("id").alias("node")), "kinds")
+    # Numbers that are written down once stand for the kinds of texts.
+    first = F.min(F.struct("id", "mark")).alias("first")
+    kinds = stored(marked.groupBy("kind", "f", "keys").agg(first).select(F.monotonically_increasing_id().alias("node"), "kind", "f", "keys", "first"), "kinds")
     near = stored(components(candidate_links(kinds, plan, similarity, dense)), "candidates")
-    roots = stored(components(verified_links(own, near, size, similarity, part_chars)), "roots")
-    best = roots.groupBy("root").agg(F.min("node").alias("component"))
-    moved = roots.join(best, "root").select("node", "component")
-    final = kinds.select("kind", "node").join(moved, "node", "left").select("kind", F.coalesce("component", "node").alias("component"))
-    return marked.select("id", "kind").join(final, "kind").select("id", "component")
+    named = kinds.join(near.select("node"), "node").select("node", F.col("first.id").alias("k_id"), F.col("first.mark").alias("k_mark"))
+    texts = own.join(named, (F.col("id") == F.col("k_id")) & (F.col("mark") == F.col("k_mark"))).groupBy("node").agg(F.first("text").alias("text"))
+    roots = stored(components(verified_links(texts, near, size, similarity, part_chars)), "roots")
+    linked = kinds.select("node", "kind", F.col("first.id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    best = linked.groupBy("root").agg(F.min("least").alias("component"))
+    return marked.select("id", "mark", "kind").join(linked.join(best, "root").select("kind", "component"), "kind").select("id", "mark", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, all columns, of which each group of similar_groups() keeps the document with the smallest id.
 
-    Rows without an id stay. Rows that repeat an id all stay or all go.
+    Rows without an id stay. Rows that repeat an id are judged by their own text; equal ones all stay or all go.
     """
-    gone = similar_groups(docs, id_col, text_col, size, similarity).where("id <> component").select("id").distinct()
-    at = docs.columns.index(id_col)
-    kept = numbered(docs).join(gone, F.col(f"c{at}") == F.col("id"), "left_anti")
+    gone = similar_groups(docs, id_col, text_col, size, similarity).where("id <> component").select("id", "mark").distinct()
+    at, text = docs.columns.index(id_col), docs.columns.index(text_col)
+    kept = numbered(docs).join(gone, (F.col(f"c{at}") == F.col("id")) & (F.xxhash64(F.coalesce(f"c{text}", F.lit(""))) == F.col("mark")), "left_anti")
     return kept.toDF(*docs.columns)
 
 

@@ -88,6 +88,38 @@ def similar(a, b, size=5):
     return len(x & y) / len(x | y)
 
 
+def test_ids_of_any_type_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [("b", text), ("a", text + " end"), ("c", "another text of some words that stands alone"), ("a", "a text of its own under an id that repeats"), (None, text), ("d", None), ("e", " ")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(df).collect()))) == sorted(map(str, [rows[1], rows[2], rows[3], rows[4], rows[5]]))
+
+
+@pytest.mark.parametrize("distance", [1, 2, 3, 4])
+def test_links_through_points(spark, distance):
+    import random
+
+    rng = random.Random(distance)
+    base = [rng.getrandbits(64) for _ in range(3)]
+    fps = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 5))) for b in base for _ in range(25)})
+    signed = [f - 2**64 if f >> 63 else f for f in fps]
+    got = [tuple(r) for r in simhash.links_through_points(spark.createDataFrame([(f,) for f in signed], "fp long"), distance).collect()]
+    apart = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    assert all(apart(a, b) <= distance for a, b in got)
+
+    def groups(links):
+        top = {f: f for f in signed}
+
+        def find(x):
+            return x if top[x] == x else find(top[x])
+
+        for a, b in links:
+            top[find(a)] = find(b)
+        return {frozenset(f for f in signed if find(f) == r) for r in {find(f) for f in signed}}
+
+    assert groups(got) == groups([(a, b) for a in signed for b in signed if apart(a, b) <= distance])
+
+
 @pytest.mark.parametrize("dense", [2, 128])
 def test_similar_groups(spark, dense):
     """Edited copies are found, unrelated texts stay apart; with tiny buckets the part-by-part way gives the same."""
