@@ -90,39 +90,46 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def _strength(sites: DataFrame, above: Column) -> float:
-    """How many documents the level above a site's counts for: the beta distribution that has the spread of the sites' shares around it.
+def strength(between: float, within: float, df_between: float, df_within: float, effective: float) -> float:
+    """How many documents the level above counts for: the variance within sites over that between them, one at least.
 
-    The spread is what is left of the squared departures once each site's sampling error is taken off.
+    between and within: sums of squares with their degrees of freedom; effective: how many documents' worth of
+    spread the sum between holds (the usual analysis of variance of groups of unequal size). Sites of one
+    document have nothing within, and lean on the variance pooled from all others. Where the sites don't
+    spread more than chance, or nothing can be told, the level above counts for everything.
     """
-    share = F.col("good") / F.col("n")
-    got = sites.agg(F.sum(F.col("n") * F.pow(share - above, F.lit(2.0))).alias("d"), F.sum("err").alias("e"), F.sum(F.col("n") * above * (1 - above)).alias("v"), F.sum("n").alias("n")).first()
-    if not got["n"]:
+    if df_within <= 0 or df_between <= 0 or effective <= 0:
         return MOST_SHRINKAGE
-    between, within = max(0.0, (got["d"] - got["e"]) / got["n"]), got["v"] / got["n"]
-    return min(MOST_SHRINKAGE, max(1.0, within / between - 1)) if between > 0 else MOST_SHRINKAGE
+    inside = within / df_within
+    spread = (between - df_between * inside) / effective
+    return min(MOST_SHRINKAGE, max(1.0, inside / spread)) if spread > 0 else MOST_SHRINKAGE
 
 
 def site_posteriors(rows: DataFrame) -> tuple[DataFrame, float]:
-    """host, path, host_share, path_share, n of all sites, how strongly paths are drawn to hosts, and the overall share.
+    """By site (_h, _p): sums and numbers of its path and host, how strongly a path is drawn to its host (_m) and a host to all (_k); and the overall share.
 
     rows has host, path and p, the probability that the document is good. Null hosts and paths are sites.
     """
-    paths = stored(rows.groupBy("host", "path").agg(F.sum("p").alias("good"), F.count(F.lit(1)).alias("n"), F.var_samp("p").alias("var")).select("host", "path", "good", "n", F.coalesce("var", F.lit(0.0)).alias("err")), "paths")
-    hosts = stored(paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"), F.avg("err").alias("err")), "hosts")
-    whole = hosts.agg(F.sum("good").alias("g"), F.sum("n").alias("n")).first()
-    overall = whole["g"] / whole["n"] if whole["n"] else 0.5
-    k = _strength(hosts, F.lit(overall))
-    hosts = hosts.select(F.col("host").alias("_host"), ((F.col("good") + k * overall) / (F.col("n") + k)).alias("host_share"))
-    joined = paths.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
-    m = _strength(joined, F.col("host_share"))
-    return joined.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "host_share", F.col("good").alias("_good"), F.col("n").alias("_n"), F.lit(m).alias("_m")), overall
+    paths = stored(rows.groupBy("host", "path").agg(F.sum("p").alias("good"), F.count(F.lit(1)).alias("n"), F.sum(F.pow("p", F.lit(2.0))).alias("sq")), "paths")
+    by_host = [F.sum("good").alias("h_good"), F.sum("n").alias("h_n"), F.sum("sq").alias("h_sq"), F.sum(F.pow("good", F.lit(2.0)) / F.col("n")).alias("mid"), F.count(F.lit(1)).alias("paths"), F.sum(F.pow("n", F.lit(2.0))).alias("n2")]
+    hosts = stored(paths.groupBy("host").agg(*by_host), "hosts")
+    own = F.pow("h_good", F.lit(2.0)) / F.col("h_n")
+    sums = [F.sum("h_good"), F.sum("h_n"), F.sum(F.col("h_sq") - F.col("mid")), F.sum(F.col("mid") - own), F.sum(own), F.sum("paths"), F.count(F.lit(1)), F.sum(F.col("n2") / F.col("h_n")), F.sum(F.pow("h_n", F.lit(2.0)))]
+    good, n, in_paths, of_paths, of_hosts, n_paths, n_hosts, n2_paths, n2_hosts = (float(x or 0) for x in hosts.agg(*sums).first())
+    overall = good / n if n else 0.5
+    m = strength(of_paths, in_paths, n_paths - n_hosts, n - n_paths, n - n2_paths)
+    k = strength(of_hosts - (good * good / n if n else 0.0), in_paths + of_paths, n_hosts - 1, n - n_hosts, n - n2_hosts / n if n else 0.0)
+    small = hosts.select(F.col("host").alias("_host"), F.col("h_good").alias("_h_good"), F.col("h_n").alias("_h_n"))
+    joined = paths.join(small, F.col("host").eqNullSafe(F.col("_host")))
+    return joined.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("good").alias("_good"), F.col("n").alias("_n"), "_h_good", "_h_n", F.lit(m).alias("_m"), F.lit(k).alias("_k")), overall
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """One row per row of docs: id, evidence (the model's probability), host_share, path_share, posterior and kept.
 
-    The path_share is that of the document's site without the document itself. labels has the id and a
+    Both shares are those of the other documents of the host and of the path, so that no document's
+    evidence counts twice; the host's is shrunk toward the overall share, the path's toward the host's. A
+    document alone on its host has the overall share. labels has the id and a
     label 0 or 1; null labels and ids are left out, and an id with several labels counts as its mean,
     rounded down. Null, empty and very long texts have finite statistics. Null hosts and paths are sites
     of their own. Without labels every evidence is a half. Ids may repeat or be null.
@@ -140,8 +147,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     sites = stored(sites, "sites")
     near = F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites
     joined = scored.join(near, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")))
-    share = (F.col("_good") - F.col("p") + F.col("_m") * F.col("host_share")) / (F.col("_n") - 1 + F.col("_m"))
-    combined = joined.withColumn("path_share", share)
+    others = lambda good, n, by, above: (F.col(good) - F.col("p") + F.col(by) * above) / (F.col(n) - 1 + F.col(by))
+    combined = joined.withColumn("host_share", others("_h_good", "_h_n", "_k", F.lit(float(overall))))
+    combined = combined.withColumn("path_share", others("_good", "_n", "_m", F.col("host_share")))
     odds = _logit(F.col("p")) + _logit(F.col("path_share")) - _logit(F.lit(float(overall)))
     return combined.withColumn("posterior", 1 / (1 + F.exp(-odds))).select("id", F.col("p").alias("evidence"), "host_share", "path_share", "posterior", (F.col("posterior") >= CUT).alias("kept"))
 

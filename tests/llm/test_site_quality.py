@@ -23,42 +23,100 @@ def table(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), spark.createDataFrame([*labels, (None, 1), (3, None), (5000, 1)], "doc_id long, quality int"), rows
 
 
+def pooled(groups, centre):
+    """Sums of squares within and between groups of numbers, degrees of freedom and effective size, one number at a time."""
+    inside = sum((x - np.mean(g)) ** 2 for g in groups for x in g)
+    between = sum(len(g) * (np.mean(g) - c) ** 2 for g, c in zip(groups, centre, strict=True))
+    return inside, between
+
+
+def brute(rows):
+    """host_share and path_share of (host, path, p) rows, each computed from the lists of all other rows."""
+    n, overall = len(rows), np.mean([p for *_, p in rows])
+    hosts, paths = {}, {}
+    for h, q, p in rows:
+        hosts.setdefault(h, []).append(p)
+        paths.setdefault((h, q), []).append(p)
+    in_paths, of_paths = pooled(list(paths.values()), [np.mean(hosts[h]) for h, _ in paths])
+    in_hosts, of_hosts = pooled(list(hosts.values()), [overall] * len(hosts))
+
+    def ratio(inside, df_in, between, df_between, size):
+        if min(df_in, df_between, size) <= 0:
+            return 1e6
+        spread = (between - df_between * inside / df_in) / size
+        return min(1e6, max(1.0, inside / df_in / spread)) if spread > 0 else 1e6
+
+    m = ratio(in_paths, n - len(paths), of_paths, len(paths) - len(hosts), n - sum(len(g) ** 2 / len(hosts[h]) for (h, _), g in paths.items()))
+    k = ratio(in_hosts, n - len(hosts), of_hosts, len(hosts) - 1, n - sum(len(g) ** 2 for g in hosts.values()) / n)
+    out = []
+    for h, q, p in rows:
+        host = (sum(hosts[h]) - p + k * overall) / (len(hosts[h]) - 1 + k)
+        out.append((host, (sum(paths[h, q]) - p + m * host) / (len(paths[h, q]) - 1 + m)))
+    return out, overall
+
+
 def test_posteriors_against_plain_arithmetic(spark):
     docs, labels, rows = table(spark)
     got = site_quality.classify(docs, labels).collect()
     assert len(got) == len(rows)
-    by = {r["id"]: r for r in got if r["id"] not in (None, 900)}
-    sites, hosts = {}, {}
-    site = {i: (h, p) for i, _, h, p in rows}
-    every = [(r, (site[r["id"]] if r["id"] not in (None, 900) else None)) for r in got]
-    for r, s in every:
-        if s is None:
-            continue
-        sites.setdefault(s, []).append(r["evidence"])
-        hosts.setdefault(s[0], []).append(r["evidence"])
-    overall = sum(r["evidence"] for r in got) / len(got)
-    # The strength of the path level follows from any document; the same one must explain all.
-    def share(r, m):
-        own = sites[site[r["id"]]]
-        return (sum(own) - r["evidence"] + m * r["host_share"]) / (len(own) - 1 + m)
-
-    r0 = max((r for r in by.values() if site[r["id"]][0] in {f"h{k}" for k in range(2, 8)}), key=lambda r: abs(r["path_share"] - r["host_share"]))
-    strengths = np.exp(np.linspace(0, math.log(1e6), 200_000))
-    m = min(strengths, key=lambda x: abs(share(r0, x) - r0["path_share"]))
-    for r in by.values():
-        if site[r["id"]][0] in ("h0", "alone"):
-            continue
-        assert abs(share(r, m) - r["path_share"]) < 1e-3
-        odds = lambda p: math.log(max(1e-9, min(1 - 1e-9, p)) / (1 - max(1e-9, min(1 - 1e-9, p))))
-        want = odds(r["evidence"]) + odds(r["path_share"]) - odds(overall)
-        assert abs(odds(r["posterior"]) - want) < 1e-6 and r["kept"] == (r["posterior"] >= 0.5)
-
-
-def test_sparse_sites_are_drawn_to_the_whole(spark):
-    rows = [("big", "x", 0.9)] * 400 + [("low", "x", 0.1)] * 400 + [("tiny", "x", 0.0)] * 2
-    sites, overall = site_quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double"))
-    share = {r["_h"]: r["host_share"] for r in sites.collect()}
-    assert share["big"] > 0.85 and share["low"] < 0.15 and 0.05 < share["tiny"] < overall
+    evidence = {r["id"]: r["evidence"] for r in got}  # the two texts of id 900 are both without words
+    shares, overall = brute([(h, q, evidence[i]) for i, _, h, q in rows])
+    odds = lambda p: math.log(max(1e-9, min(1 - 1e-9, p)) / (1 - max(1e-9, min(1 - 1e-9, p))))
+    want = sorted((str(i), host, path, odds(evidence[i]) + odds(path) - odds(overall)) for (i, *_), (host, path) in zip(rows, shares, strict=True))
+    for r, w in zip(sorted((str(r["id"]), r["host_share"], r["path_share"], odds(r["posterior"])) for r in got), want, strict=True):
+        assert r[0] == w[0] and np.allclose(r[1:], w[1:], atol=1e-6)
+    assert all(r["kept"] == (r["posterior"] >= 0.5) for r in got)
+
+
+def test_strength_is_that_of_the_prior(spark):
+    """Sites drawn from a beta distribution: the strength found is near its size, also where most sites have one document only."""
+    rng = np.random.default_rng(4)
+    for sizes, prior in (([20] * 300, 8.0), ([1] * 2000 + [6] * 400, 8.0)):
+        rows = []
+        for i, n in enumerate(sizes):
+            q = rng.beta(0.6 * prior, 0.4 * prior)
+            rows += [(f"h{i}", "x", float(x)) for x in (rng.random(n) < q)]
+        sites, overall = site_quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double"))
+        r = sites.first()
+        assert abs(overall - 0.6) < 0.03 and 5 < r["_k"] < 13 and r["_m"] == site_quality.MOST_SHRINKAGE
+
+
+def test_lone_documents_dont_confirm_themselves(spark):
+    rows = [("big", "x", 0.9)] * 200 + [("big", "x", 0.8)] * 200 + [("low", "x", 0.1)] * 200 + [("low", "x", 0.2)] * 200 + [(f"tiny{i}", "x", float(i % 2)) for i in range(6)]
+    shares, overall = brute(rows)
+    assert all(abs(host - overall) < 1e-9 and abs(path - overall) < 1e-9 for host, path in shares[-6:])
+    sites, found = site_quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double"))
+    assert abs(found - overall) < 1e-12
+    r = sites.where("_h = 'tiny0'").first()
+    assert (r["_h_good"], r["_h_n"]) == (0.0, 1)
+
+
+def test_sites_help_where_texts_tell_little(spark):
+    """Texts of good and bad documents overlap widely; hosts hold mostly one kind. The posterior beats the evidence on held-out documents."""
+    rng = random.Random(9)
+    rows, labels = [], {}
+    for i in range(1500):
+        host = i % 30
+        good = rng.random() < (0.92 if host % 2 else 0.08)
+        share = rng.gauss(0.10 if good else 0.16, 0.07)
+        words = [rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randint(0, 99)) + ("*" if rng.random() < share else "") for _ in range(60)]
+        rows.append((i, " ".join(words), f"h{host}", "p"))
+        labels[i] = int(good)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    chosen = {i for i in labels if rng.random() < 0.5}
+    known = spark.createDataFrame([(i, labels[i]) for i in sorted(chosen)], "doc_id long, quality int")
+    unseen = set(labels) - chosen
+    got = [r for r in site_quality.classify(docs, known).collect() if r["id"] in unseen]
+    by_text = np.mean([(r["evidence"] >= 0.5) == labels[r["id"]] for r in got])
+    by_site = np.mean([r["kept"] == bool(labels[r["id"]]) for r in got])
+    assert len(got) > 700 and by_text < 0.8 and by_site > by_text + 0.1
+
+
+def test_clashing_names(spark):
+    docs, labels, _ = table(spark)
+    other = docs.withColumns({"x": docs["text"], "p": docs["doc_id"], "_h": docs["text"], "label": docs["doc_id"], "a.b": docs["text"]})
+    plain, named = site_quality.classify(docs, labels).collect(), site_quality.classify(other, labels).collect()
+    assert sorted(map(str, plain)) == sorted(map(str, named))
 
 
 def test_held_out_accuracy(spark):
