@@ -1,13 +1,16 @@
 """Language-model scoring with a subword lattice: all segmentations of a text weigh in.
 
-The pieces are those of an existing tokenizer vocabulary. Their scores there give first probabilities;
-expected piece counts over all training words, weighted by all segmentations (one expectation step over
-the lattice), give the ones used. A text's probability is the product of its words' marginal
-probabilities, each summed over all segmentations by a forward recursion on logarithms, and of its end.
-
-Words are counted over the whole corpus first, so a lattice is computed once for every distinct word.
-The most frequent words, a bounded number of short ones, go to every executor; the others come from a
-join with the table of all words.
+A word's lattice has the pieces of an existing tokenizer vocabulary and, for words of the training texts,
+the whole word as one more edge. The vocabulary's scores give first probabilities of the pieces; expected
+piece counts over all training words, weighted by all segmentations, give better ones, step by step until
+the likelihood settles. How often the corpus has a word gives the whole word's probability, and what that
+leaves over goes to the pieces, so what is learned grows with the corpus. A text's probability is the
+product of its words' marginal probabilities, each summed over all segmentations by a forward recursion on
+logarithms, and of its end.
+
+Words are counted over the whole corpus first, and their lattices are built once for every distinct word,
+in chunks of words of like length whose recursions run side by side. The most frequent words, a bounded
+number of short ones, go to every executor; the others come from a join with the table of all words.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +32,11 @@ FOLDS, HELD_OUT = 7, 2
 HEAD, HEAD_BYTES = 1 << 17, 32
 #: Weight of the first probabilities against one expected count.
 PRIOR = 500.0
+#: Expectation steps end when the logarithm of the likelihood gains less than this share, or after so many.
+SETTLED, STEPS = 1e-3, 20
+#: Words, and cells of the table of words and places, of a chunk whose recursions run side by side.
+CHUNK, CELLS = 4096, 1 << 18
 LN10 = math.log(10)
-_GONE = float("-inf")
 
 
 def vocabulary(path: str) -> dict[bytes, float]:
@@ -61,53 +68,103 @@ def vocabulary(path: str) -> dict[bytes, float]:
     return {k: math.log(v / total) for k, v in found.items()}
 
 
-def suffixes(pieces: dict[bytes, float]) -> dict[bytes, float]:
-    """pieces, with -inf for what is only the end of a piece: where a string isn't here, nothing longer that ends like it is either."""
-    out = {p[i:]: _GONE for p in pieces for i in range(1, len(p))}
-    return out | pieces
-
-
-def _sum(terms: list[float]) -> float:
-    if len(terms) == 1:
-        return terms[0]
-    top = max(terms)
-    return top + math.log(sum([math.exp(t - top) for t in terms]))
-
-
-def forward(word: bytes, pieces: dict[bytes, float]) -> list[float]:
-    """Log probabilities of all segmentations of word[:j], for every j. pieces: as suffixes() makes them."""
-    alpha = [0.0]
-    get = pieces.get
-    for j in range(1, len(word) + 1):
-        terms = []
-        for i in range(j - 1, -1, -1):
-            s = get(word[i:j])
-            if s is None:
-                break
-            if s != _GONE and alpha[i] != _GONE:
-                terms.append(alpha[i] + s)
-        alpha.append(_sum(terms) if terms else _GONE)
-    return alpha
-
-
-def expected(word: bytes, count: float, pieces: dict[bytes, float], into: dict[bytes, float]) -> None:
-    """Adds count times the expected number of each piece in word, over all its segmentations."""
-    alpha = forward(word, pieces)
-    n, whole = len(word), alpha[-1]
-    beta: list[list[float]] = [[] for _ in range(n)] + [[0.0]]
-    for j in range(n, 0, -1):
-        if not beta[j] or alpha[j] == _GONE:
-            continue
-        b = _sum(beta[j])
-        for i in range(j - 1, -1, -1):
-            s = pieces.get(word[i:j])
-            if s is None:
-                break
-            if s != _GONE and alpha[i] != _GONE:
-                beta[i].append(s + b)
-                p = math.exp(alpha[i] + s + b - whole)
-                if p > 1e-9:
-                    into[word[i:j]] = into.get(word[i:j], 0.0) + count * p
+class Pieces:
+    """A vocabulary as numbers: a piece's place in the list of probabilities, and -1 for what is only the end of a piece."""
+
+    def __init__(self, pieces: dict[bytes, float]) -> None:
+        self.names = list(pieces)
+        self.first = np.array([pieces[p] for p in self.names], float)
+        self.number = {p[i:]: -1 for p in pieces for i in range(1, len(p))} | {p: k for k, p in enumerate(self.names)}
+
+    def edges(self, word: bytes) -> list[tuple[int, int, int]]:
+        """End, length and number of every piece in word, by end. Where a string is no end of a piece, nothing longer that ends like it is."""
+        get, out = self.number.get, []
+        for j in range(1, len(word) + 1):
+            for i in range(j - 1, -1, -1):
+                if (k := get(word[i:j])) is None:
+                    break
+                if k >= 0:
+                    out.append((j, j - i, k))
+        return out
+
+
+class Chunk:
+    """The lattices of some words: edges by the place where they end, then by word."""
+
+    def __init__(self, lengths: np.ndarray, levels: np.ndarray, word: np.ndarray, back: np.ndarray, piece: np.ndarray) -> None:
+        self.lengths, self.levels, self.word, self.back, self.piece = lengths, levels, word, back, piece
+
+    @classmethod
+    def of(cls, own: list[bytes], pieces: Pieces) -> Chunk:
+        found = [np.array(pieces.edges(w), np.int32).reshape(-1, 3) for w in own]
+        lengths = np.array([len(w) for w in own], np.int32)
+        flat = np.concatenate([*found, np.zeros((0, 3), np.int32)])
+        word = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in found])
+        order = np.argsort(flat[:, 0], kind="stable")
+        levels = np.bincount(flat[:, 0], minlength=int(lengths.max(initial=0)) + 1).astype(np.int32)
+        return cls(lengths, levels, word[order], flat[order, 1], flat[order, 2])
+
+    def packed(self) -> bytes:
+        parts = [x.astype("<i4").tobytes() for x in (self.lengths, self.levels)] + [self.word.astype("<u2").tobytes(), self.back.astype("<u2").tobytes(), self.piece.astype("<i4").tobytes()]
+        return np.array([len(p) for p in parts], "<i8").tobytes() + b"".join(parts)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Chunk:
+        ends = 40 + np.cumsum(np.frombuffer(data, "<i8", 5))
+        parts = [data[a:b] for a, b in zip([40, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        return cls(*(np.frombuffer(p, t).astype(np.int64) for p, t in zip(parts, ("<i4", "<i4", "<u2", "<u2", "<i4"), strict=True)))
+
+    def forward(self, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each word over all its segmentations, and for each edge its share of what arrives where it ends."""
+        places, n = len(self.levels), len(self.lengths)
+        alpha = np.full((places, n), -np.inf)
+        alpha[0] = 0.0
+        share, at = np.zeros(len(self.word)), 0
+        for j in range(1, places):
+            to = at + int(self.levels[j])
+            word, score = self.word[at:to], logs[self.piece[at:to]]
+            terms = alpha[j - self.back[at:to], word] + score
+            begin = np.flatnonzero(np.diff(word, prepend=-1))
+            if len(begin):
+                top = np.maximum.reduceat(terms, begin)
+                top[np.isneginf(top)] = 0.0
+                many = np.diff(begin, append=len(word))
+                each = np.exp(terms - np.repeat(top, many))
+                sums = np.add.reduceat(each, begin)
+                with np.errstate(divide="ignore"):
+                    alpha[j, word[begin]] = top + np.log(sums)
+                share[at:to] = each / np.repeat(np.where(sums > 0, sums, 1.0), many)
+            at = to
+        return alpha[self.lengths, np.arange(n)], share
+
+    def expected(self, share: np.ndarray, counts: np.ndarray, into: np.ndarray) -> None:
+        """Adds the expected number of each piece, over all segmentations of all words that often.
+
+        From the last place backwards: how probable it is that a segmentation passes a place, times an
+        edge's share of what arrives there, is the edge's probability, and adds to that of the place where it starts.
+        """
+        passes = np.zeros((len(self.levels), len(self.lengths)))
+        passes[self.lengths, np.arange(len(self.lengths))] = counts
+        to = len(self.word)
+        for j in range(len(self.levels) - 1, 0, -1):
+            at = to - int(self.levels[j])
+            if to > at:
+                word, mass = self.word[at:to], passes[j, self.word[at:to]] * share[at:to]
+                np.add.at(passes, (j - self.back[at:to], word), mass)
+                into += np.bincount(self.piece[at:to], weights=mass, minlength=len(into))
+            to = at
+
+
+def chunks(own: list[tuple[bytes, int]]) -> Iterator[list[tuple[bytes, int]]]:
+    """(word, count) pairs by length, in lists of bounded size."""
+    part: list[tuple[bytes, int]] = []
+    for word, count in sorted(own, key=lambda x: len(x[0])):
+        if part and (len(part) == CHUNK or (len(part) + 1) * len(word) > CELLS):
+            yield part
+            part = []
+        part.append((word, count))
+    if part:
+        yield part
 
 
 def is_held_out(id_: Column) -> Column:
@@ -121,35 +178,94 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return each.groupBy("word").agg(F.sum("train").alias("count"))
 
 
-def fit(spark: SparkSession, counts: DataFrame, ends: int, pieces: dict[bytes, float]) -> tuple[dict[bytes, float], float]:
-    """Log probabilities of the pieces and of the end, from the expected counts over all training words and ends texts."""
-    sent = spark.sparkContext.broadcast(suffixes(pieces))
+def lattices(counts: DataFrame, pieces: Pieces) -> DataFrame:
+    """words, counts, edges: the lattices of all words of counts (word, count), by chunk."""
+    sent = counts.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        into: dict[bytes, float] = {}
         for batch in batches:
-            for word, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                expected(b" " + word.encode("utf-8", "surrogatepass"), count, sent.value, into)
-        yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.binary()), pa.array(list(into.values()), pa.float64())], ["piece", "n"])
-
-    # At most as many rows as the vocabulary has pieces.
-    found = counts.where("count > 0").mapInArrow(run, "piece binary, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    seen = {bytes(r["piece"]): r["n"] for r in found}
-    weights = {p: seen.get(p, 0.0) + PRIOR * math.exp(s) for p, s in pieces.items()}
-    total = sum(weights.values()) + ends + 1
-    return {p: math.log(w / total) for p, w in weights.items()}, math.log((ends + 1) / total)
+            own = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for part in chunks([(w.encode("utf-8", "surrogatepass"), n) for w, n in own]):
+                edges = Chunk.of([b" " + w for w, _ in part], sent.value).packed()
+                names = pa.array([[w.decode("utf-8", "surrogatepass") for w, _ in part]], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([names, pa.array([[n for _, n in part]], pa.list_(pa.int64())), pa.array([edges], pa.binary())], ["words", "counts", "edges"])
+
+    return counts.mapInArrow(run, "words array<string>, counts array<bigint>, edges binary")
+
+
+def fit(spark: SparkSession, built: DataFrame, ends: int, pieces: Pieces, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Log probabilities of the pieces and of the end, by expectation steps over all training words of built (lattices()) and ends texts."""
+    logs, end, size, before = pieces.first, 0.0, len(pieces.names), None
+    for _ in range(steps):
+        sent = spark.sparkContext.broadcast(logs)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            into, likely = np.zeros(size), 0.0
+            for batch in batches:
+                for n, data in zip(batch.column(0), batch.column(1), strict=True):
+                    own, chunk = np.array(n.as_py(), float), Chunk.unpacked(data.as_py())
+                    lp, share = chunk.forward(sent.value)
+                    chunk.expected(share, own, into)
+                    likely += float(np.where(own > 0, own * lp, 0.0).sum())
+            some = np.flatnonzero(into)
+            yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), -1], pa.int64()), pa.array([*into[some].tolist(), likely], pa.float64())], ["piece", "n"])
+
+        # At most as many rows as the vocabulary has pieces.
+        got = built.select("counts", "edges").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        sent.unpersist()
+        seen = np.zeros(size)
+        for r in got:
+            if r["piece"] >= 0:
+                seen[r["piece"]] = r["n"]
+        likely = sum(r["n"] for r in got if r["piece"] < 0)
+        weights = seen + PRIOR * np.exp(pieces.first)
+        total = weights.sum() + ends + 1
+        logs, end = np.log(weights / total), math.log((ends + 1) / total)
+        if before is not None and likely - before <= SETTLED * abs(before):
+            break
+        before = likely
+    return logs, end
+
+
+def token_logs(lp: np.ndarray, counts: np.ndarray, total: int, kinds: int) -> np.ndarray:
+    """Natural logarithm of each token's probability: its edge as a whole, counted in the corpus, and all its segmentations.
+
+    Of total training tokens of so many kinds, a token that was seen c times has c parts in total + kinds
+    as a whole; the pieces share the other kinds' parts. Without training tokens the pieces have all.
+    """
+    kinds = max(1, kinds)
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(counts), math.log(kinds) + lp) - math.log(total + kinds)
 
 
-def _with_lattice(counts: DataFrame, spark: SparkSession, pieces: dict[bytes, float]) -> DataFrame:
-    """counts with lp: the natural logarithm of each word's marginal probability."""
-    sent = spark.sparkContext.broadcast(suffixes(pieces))
+def lexicon_of(built: DataFrame, logs: np.ndarray, total: int, kinds: int) -> DataFrame:
+    """word, count, lp: all words of built with the natural logarithm of their marginal probability."""
+    sent = built.sparkSession.sparkContext.broadcast(logs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lp = [forward(b" " + w.encode("utf-8", "surrogatepass"), sent.value)[-1] for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lp, pa.float64())], ["word", "count", "lp"])
+            for names, n, data in zip(*(batch.column(i) for i in range(3)), strict=True):
+                own = np.array(n.as_py(), float)
+                lp = token_logs(Chunk.unpacked(data.as_py()).forward(sent.value)[0], own, total, kinds)
+                yield pa.RecordBatch.from_arrays([names.values, n.values, pa.array(lp)], ["word", "count", "lp"])
+
+    return built.mapInArrow(run, "word string, count long, lp double")
+
 
-    return counts.mapInArrow(run, "word string, count long, lp double")
+def frequent(lexicon: DataFrame, head: int) -> list:
+    """At most head of the most frequent short training words: all that occur oftener than some number.
+
+    The number comes from how many words there are by the size of their count, so no task sends more than what is kept.
+    """
+    short = lexicon.where((F.octet_length("word") <= HEAD_BYTES) & (F.col("count") > 0))
+    step = F.floor(F.log2("count") * 64).cast("int")
+    sizes = sorted(((r["s"], r["n"]) for r in short.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    room, least = head, None
+    for s, n in sizes:
+        if n > room:
+            break
+        room, least = room - n, s
+    return [] if least is None else short.where(step >= least).collect()
 
 
 def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
@@ -158,7 +274,8 @@ def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
     Tokens are the words, A-Z lower-cased, and one end. base_score is the add-one unigram score over
     whole words, score the lattice's; both are log10. Null and empty texts have the end only. A null id
     is a training text's. Rows that repeat an id are texts of their own, and all of them are counted.
-    Without training texts all counts are 0 and the pieces keep the vocabulary's probabilities.
+    Without training texts all counts are 0 and the pieces keep the vocabulary's probabilities. The
+    probabilities of all texts sum up to 1.
     """
     spark = docs.sparkSession
     own = pick(docs, id=id_col, text=text_col)
@@ -166,17 +283,20 @@ def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
     ends = own.where(~is_held_out(F.col("id"))).count()
     shape = counts.agg(F.sum("count").alias("n"), F.count_if(F.col("count") > 0).alias("v")).first()
     total, kinds = (shape["n"] or 0) + ends, shape["v"] + (ends > 0)
-    pieces, end = fit(spark, counts, ends, vocabulary(vocabulary_path))
-    lexicon = stored(_with_lattice(counts, spark, pieces), "lexicon")
-
-    short = lexicon.where((F.octet_length("word") <= HEAD_BYTES) & (F.col("count") > 0))
-    top = short.orderBy(F.desc("count"), "word").limit(head).collect()  # head rows of bounded size
-    known = {r["word"].encode("utf-8", "surrogatepass"): (r["lp"], math.log10(r["count"] + 1)) for r in top}
+    pieces = Pieces(vocabulary(vocabulary_path))
+    built = stored(lattices(counts, pieces), "lattices")
+    logs, end = fit(spark, built, ends, pieces)
+    # A text ends, or goes on with a piece that starts a word: the end's share of these.
+    starts = np.logaddexp.reduce([s for p, s in zip(pieces.names, logs, strict=True) if p[:1] == b" "], initial=-np.inf)
+    end = float(token_logs(np.array([end - np.logaddexp(end, starts)]), np.array([float(ends)]), total, kinds)[0])
+    lexicon = stored(lexicon_of(built, logs, total, kinds), "lexicon")
+
+    known = {r["word"].encode("utf-8", "surrogatepass"): (r["lp"], math.log10(r["count"] + 1)) for r in frequent(lexicon, head)}
     sent, base_end = spark.sparkContext.broadcast(known), math.log10(ends + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text with the sums over frequent words and no word, and a row for each other word."""
-        frequent = sent.value
+        often = sent.value
         for batch in batches:
             marks, rest, n, k, base, lp = [], [], [], [], [], []
             for mark, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -184,7 +304,7 @@ def score(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
                 size, seen, b, s, others = 1, int(ends > 0), base_end, end, []
                 for word, tf in tokens.items():
                     size += tf
-                    if hit := frequent.get(word):
+                    if hit := often.get(word):
                         seen += tf
                         s += tf * hit[0]
                         b += tf * hit[1]
