@@ -19,8 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their texts without lines that a document with a smaller id holds; n_chars follows the text."""
-    out = line_dedup.line_dedup(docs).drop("n_lines", "n_dropped")
-    return line_dedup.recounted(out).select(*docs.columns)
+    return line_dedup.recounted(line_dedup.line_dedup(docs, counts=False))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +28,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that benchmark items don't contaminate."""
+    """The documents that hold no passage of a benchmark item."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
