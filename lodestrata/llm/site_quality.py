@@ -3,8 +3,9 @@
 A logistic model of a document's own statistics gives its evidence. Sites form a hierarchy: all, host,
 host and path. Every level's share of good documents is estimated by grouped sums and shrunk toward the
 level above it, the more the fewer documents it has; how much is estimated from the spread between the
-sites of a level. A document's posterior combines its evidence with its path's share, from which its own
-part is taken out.
+sites of a level. A document's posterior combines its evidence with its path's share; shares are
+estimated again from the posteriors until they settle, as weak evidence alone would make all sites look
+alike. In the end each document's own part is taken out of its site's shares.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ DECAY, STEPS = 1.0, 25
 #: Documents below this posterior go. A share of this many documents stands in where sites don't differ at all.
 CUT, MOST_SHRINKAGE = 0.5, 1e6
 BROADCAST_SITES = 100_000
+#: Shares are estimated until they change by less than this for the mean document, or so often.
+SETTLED, ROUNDS = 2e-3, 12
 _WORD, _ODD = re.compile(r"\S+"), re.compile(r"[^\w\s.,;:'\"()?-]")
 
 
@@ -121,7 +124,19 @@ def site_posteriors(rows: DataFrame) -> tuple[DataFrame, float]:
     k = strength(of_hosts - (good * good / n if n else 0.0), in_paths + of_paths, n_hosts - 1, n - n_hosts, n - n2_hosts / n if n else 0.0)
     small = hosts.select(F.col("host").alias("_host"), F.col("h_good").alias("_h_good"), F.col("h_n").alias("_h_n"))
     joined = paths.join(small, F.col("host").eqNullSafe(F.col("_host")))
-    return joined.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("good").alias("_good"), F.col("n").alias("_n"), "_h_good", "_h_n", F.lit(m).alias("_m"), F.lit(k).alias("_k")), overall
+    sites = joined.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("good").alias("_good"), F.col("n").alias("_n"), "_h_good", "_h_n", F.lit(m).alias("_m"), F.lit(k).alias("_k"))
+    return stored(sites, "sites"), overall
+
+
+def _path_share(overall: Column) -> Column:
+    """A path's share of good documents, drawn to its host's, which is drawn to the overall one."""
+    host = (F.col("_h_good") + F.col("_k") * overall) / (F.col("_h_n") + F.col("_k"))
+    return (F.col("_good") + F.col("_m") * host) / (F.col("_n") + F.col("_m"))
+
+
+def _at_site(rows: DataFrame, sites: DataFrame, few: bool) -> DataFrame:
+    """rows (host, path) with what sites have for them; sent to every executor if the sites are few."""
+    return rows.join(F.broadcast(sites) if few else sites, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -143,15 +158,25 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     terms = [F.lit(float(w[i + 1])) * F.greatest(F.least((F.get("x", F.lit(i)) - F.lit(float(mean[i]))) / F.lit(float(scale[i])), F.lit(8.0)), F.lit(-8.0)) for i in range(len(mean))]
     scored = full.withColumn("p", 1 / (1 + F.exp(-sum(terms, F.lit(float(w[0])))))).select("id", "host", "path", "p")
-    sites, overall = site_posteriors(scored)
-    sites = stored(sites, "sites")
-    near = F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites
-    joined = scored.join(near, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")))
-    others = lambda good, n, by, above: (F.col(good) - F.col("p") + F.col(by) * above) / (F.col(n) - 1 + F.col(by))
-    combined = joined.withColumn("host_share", others("_h_good", "_h_n", "_k", F.lit(float(overall))))
+    sites, base = site_posteriors(scored)
+    few = sites.count() <= BROADCAST_SITES
+    # A document's odds: its own, and its site's against those of all, on which the evidence rests.
+    posterior = lambda share: 1 / (1 + F.exp(-(_logit(F.col("p")) + _logit(share) - _logit(F.lit(base)))))
+    overall, share, n = base, _path_share(F.lit(base)), F.col("_n")
+    for _ in range(ROUNDS):
+        now, level = site_posteriors(_at_site(scored, sites, few).select("host", "path", posterior(share).alias("p")))
+        was = sites.select(F.col("_h").alias("w_h"), F.col("_p").alias("w_p"), share.alias("was"))
+        share = _path_share(F.lit(level))
+        moved = now.join(F.broadcast(was) if few else was, F.col("_h").eqNullSafe(F.col("w_h")) & F.col("_p").eqNullSafe(F.col("w_p"))).agg((F.sum(n * F.abs(share - F.col("was"))) / F.sum(n)).alias("m")).first()["m"]
+        before, sites, overall, last = sites, now, level, overall
+        if (moved or 0.0) <= SETTLED:
+            break
+    # The sums of the last round hold each document's posterior of the round before: that is what is taken out.
+    mine = _at_site(scored, before, few).withColumn("q", posterior(_path_share(F.lit(last)))).select("id", "host", "path", "p", "q")
+    others = lambda good, n, by, above: (F.col(good) - F.col("q") + F.col(by) * above) / (F.col(n) - 1 + F.col(by))
+    combined = _at_site(mine, sites, few).withColumn("host_share", others("_h_good", "_h_n", "_k", F.lit(overall)))
     combined = combined.withColumn("path_share", others("_good", "_n", "_m", F.col("host_share")))
-    odds = _logit(F.col("p")) + _logit(F.col("path_share")) - _logit(F.lit(float(overall)))
-    return combined.withColumn("posterior", 1 / (1 + F.exp(-odds))).select("id", F.col("p").alias("evidence"), "host_share", "path_share", "posterior", (F.col("posterior") >= CUT).alias("kept"))
+    return combined.withColumn("posterior", posterior(F.col("path_share"))).select("id", F.col("p").alias("evidence"), "host_share", "path_share", "posterior", (F.col("posterior") >= CUT).alias("kept"))
 
 
 def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,8 +30,8 @@ def pooled(groups, centre):
     return inside, between
 
 
-def brute(rows):
-    """host_share and path_share of (host, path, p) rows, each computed from the lists of all other rows."""
+def level(rows):
+    """The overall share, and sums by host and path with their strengths, from lists of (host, path, p) rows."""
     n, overall = len(rows), np.mean([p for *_, p in rows])
     hosts, paths = {}, {}
     for h, q, p in rows:
@@ -48,10 +48,40 @@ def brute(rows):
 
     m = ratio(in_paths, n - len(paths), of_paths, len(paths) - len(hosts), n - sum(len(g) ** 2 / len(hosts[h]) for (h, _), g in paths.items()))
     k = ratio(in_hosts, n - len(hosts), of_hosts, len(hosts) - 1, n - sum(len(g) ** 2 for g in hosts.values()) / n)
+    return float(overall), hosts, paths, m, k
+
+
+def odds(p):
+    p = max(1e-9, min(1 - 1e-9, p))
+    return math.log(p / (1 - p))
+
+
+def brute(rows):
+    """host_share, path_share and posterior of (host, path, evidence) rows."""
+
+    def share(found, h, q):
+        overall, hosts, paths, m, k = found
+        host = (sum(hosts[h]) + k * overall) / (len(hosts[h]) + k)
+        return (sum(paths[h, q]) + m * host) / (len(paths[h, q]) + m)
+
+    def posterior(p, by):
+        return 1 / (1 + math.exp(-(odds(p) + odds(by) - odds(base))))
+
+    found = level(rows)
+    base = found[0]
+    for _ in range(site_quality.ROUNDS):
+        mine = [posterior(p, share(found, h, q)) for h, q, p in rows]
+        now = level([(h, q, x) for (h, q, _), x in zip(rows, mine, strict=True)])
+        moved = np.mean([abs(share(now, h, q) - share(found, h, q)) for h, q, _ in rows])
+        found = now
+        if moved <= site_quality.SETTLED:
+            break
+    overall, hosts, paths, m, k = found
     out = []
-    for h, q, p in rows:
-        host = (sum(hosts[h]) - p + k * overall) / (len(hosts[h]) - 1 + k)
-        out.append((host, (sum(paths[h, q]) - p + m * host) / (len(paths[h, q]) - 1 + m)))
+    for (h, q, p), x in zip(rows, mine, strict=True):
+        host = (sum(hosts[h]) - x + k * overall) / (len(hosts[h]) - 1 + k)
+        path = (sum(paths[h, q]) - x + m * host) / (len(paths[h, q]) - 1 + m)
+        out.append((host, path, posterior(p, path)))
     return out, overall
 
 
@@ -60,9 +90,8 @@ def test_posteriors_against_plain_arithmetic(spark):
     got = site_quality.classify(docs, labels).collect()
     assert len(got) == len(rows)
     evidence = {r["id"]: r["evidence"] for r in got}  # the two texts of id 900 are both without words
-    shares, overall = brute([(h, q, evidence[i]) for i, _, h, q in rows])
-    odds = lambda p: math.log(max(1e-9, min(1 - 1e-9, p)) / (1 - max(1e-9, min(1 - 1e-9, p))))
-    want = sorted((str(i), host, path, odds(evidence[i]) + odds(path) - odds(overall)) for (i, *_), (host, path) in zip(rows, shares, strict=True))
+    found, _ = brute([(h, q, evidence[i]) for i, _, h, q in rows])
+    want = sorted((str(i), host, path, odds(x)) for (i, *_), (host, path, x) in zip(rows, found, strict=True))
     for r, w in zip(sorted((str(r["id"]), r["host_share"], r["path_share"], odds(r["posterior"])) for r in got), want, strict=True):
         assert r[0] == w[0] and np.allclose(r[1:], w[1:], atol=1e-6)
     assert all(r["kept"] == (r["posterior"] >= 0.5) for r in got)
@@ -84,9 +113,9 @@ def test_strength_is_that_of_the_prior(spark):
 def test_lone_documents_dont_confirm_themselves(spark):
     rows = [("big", "x", 0.9)] * 200 + [("big", "x", 0.8)] * 200 + [("low", "x", 0.1)] * 200 + [("low", "x", 0.2)] * 200 + [(f"tiny{i}", "x", float(i % 2)) for i in range(6)]
     shares, overall = brute(rows)
-    assert all(abs(host - overall) < 1e-9 and abs(path - overall) < 1e-9 for host, path in shares[-6:])
+    assert all(abs(host - overall) < 1e-9 and abs(path - overall) < 1e-9 for host, path, _ in shares[-6:])
     sites, found = site_quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double"))
-    assert abs(found - overall) < 1e-12
+    assert abs(found - np.mean([p for *_, p in rows])) < 1e-12
     r = sites.where("_h = 'tiny0'").first()
     assert (r["_h_good"], r["_h_n"]) == (0.0, 1)
 
