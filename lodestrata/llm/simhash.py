@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -281,6 +281,8 @@ def verified_forest(nodes: np.ndarray, sets: list[np.ndarray], similarity: float
 
 #: The same as DENSE for wide fingerprints, whose unrelated ones leave about four in a bucket at any size of the input.
 WIDE_DENSE = 16
+#: Nodes that each node is held against before pairs are made.
+LEADS = 8
 #: Fingerprints of a dense bucket that are compared in one go with each other or with as many others.
 _PART = 2048
 #: Characters of a candidate group whose texts are verified in one go with each other or with as many others.
@@ -288,27 +290,40 @@ _PART_CHARS = 16 << 20
 
 
 def candidate_links(kinds: DataFrame, layout_: tuple[int, int, int, int], similarity: float, dense: int) -> DataFrame:
-    """a, b: links between the nodes of kinds (node, f, keys) that give the components of all pairs of at least the similarity, and of more."""
+    """a, b: links between the nodes of kinds (node, f, keys) that give the components of all pairs of at least the similarity, and of more.
+
+    In a first step every node is only held against the least few of the nodes that are first in one of its
+    buckets, which joins most of a large group of copies at the cost of LEADS rows each. In the second, pairs
+    are made of nodes that this has not joined yet, so their number doesn't grow with the square of a group.
+    """
     bits, per, words, distance = layout_
+    first = _reach(2 * BITS, acos(2 * similarity / (1 + similarity)) / pi)
     mask = (1 << bits) - 1
     block = lambda k: F.shiftrightunsigned(F.get("f", F.lit(k // per)), bits * (k % per)).bitwiseAND(F.lit(mask)) + F.lit(k << bits)
     keys = F.concat(F.array(*[block(k) for k in range(words * per)]), F.col("keys"))
     entries = kinds.select("node", F.get("f", F.lit(0)).alias("s"), F.get("f", F.lit(1)).alias("t"), F.explode(keys).alias("key"))
-    crowded = stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense), "crowded")
-    n_crowded = crowded.count()
-    few = F.broadcast(crowded) if n_crowded <= 1_000_000 else crowded
-    light = entries.join(few.select("key"), "key", "left_anti")
-    # The first 128 bits tell most of the unrelated ones apart; sets found by a shared shingle need no such test.
-    side = lambda node, s, t: light.select("key", F.col("node").alias(node), F.col("s").alias(s), F.col("t").alias(t))
-    apart = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) + F.bit_count(F.col("x2").bitwiseXOR(F.col("y2")))
-    first = _reach(2 * BITS, acos(2 * similarity / (1 + similarity)) / pi)
-    near = (apart <= first) | (F.col("key") < 0)
-    pairs = side("a", "x", "x2").join(side("b", "y", "y2"), "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "s", "t")).alias("lead")).where("n > 1")
+    crowd = stored(entries.join(buckets, "key"), "crowd")
     prints = kinds.select("node", "f")
-    both = pairs.join(prints.select(F.col("node").alias("a"), F.col("f").alias("fa")), "a").join(prints.select(F.col("node").alias("b"), F.col("f").alias("fb")), "b")
-    apart = sum(F.bit_count(F.get("fa", F.lit(i)).bitwiseXOR(F.get("fb", F.lit(i)))) for i in range(words))
-    links = both.where(apart <= distance).select("a", "b")
-    if not n_crowded:
+
+    # The first 128 bits tell most of the unrelated ones apart; sets found by a shared shingle need no such test.
+    def near(s: str, t: str) -> Column:
+        return (F.bit_count(F.col("s").bitwiseXOR(F.col(s))) + F.bit_count(F.col("t").bitwiseXOR(F.col(t))) <= first) | (F.col("key") < 0)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(prints.select(F.col("node").alias("a"), F.col("f").alias("fa")), "a").join(prints.select(F.col("node").alias("b"), F.col("f").alias("fb")), "b")
+        apart = sum(F.bit_count(F.get("fa", F.lit(i)).bitwiseXOR(F.get("fb", F.lit(i)))) for i in range(words))
+        return both.where(apart <= distance).select("a", "b")
+
+    stars = crowd.where((F.col("node") != F.col("lead.node")) & near("lead.s", "lead.t")).groupBy(F.col("node").alias("b")).agg(F.array_sort(F.collect_set("lead.node")).alias("leads"))
+    stars = stored(verified(stars.select(F.explode(F.slice("leads", 1, LEADS)).alias("a"), "b")), "stars")
+    joined = stored(components(stars), "joined")
+    few = crowd.where(F.col("n") <= dense).join(joined, "node", "left").select("key", "node", "s", "t", F.coalesce("root", "node").alias("group"))
+    other = few.select("key", F.col("node").alias("b"), F.col("s").alias("s2"), F.col("t").alias("t2"), F.col("group").alias("group2"))
+    pairs = few.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("group") != F.col("group2")) & near("s2", "t2"))
+    links = stars.unionAll(verified(pairs.select("a", "b").distinct()))
+    many = crowd.where(F.col("n") > dense)
+    if many.isEmpty():
         return links
 
     def connect(part: pd.DataFrame) -> pd.DataFrame:
@@ -316,7 +331,7 @@ def candidate_links(kinds: DataFrame, layout_: tuple[int, int, int, int], simila
         prints = np.stack(part["f"].to_numpy()).astype(np.int64).view(np.uint64)
         return pd.DataFrame(forest(nodes, prints, distance, 2 * BITS if part["key"].iloc[0] < 0 else first), columns=["a", "b"], dtype="int64")
 
-    thick = entries.join(few, "key").select("key", "node", F.ceil(F.col("n") / _PART).cast("int").alias("parts"))
+    thick = many.select("key", "node", F.ceil(F.col("n") / _PART).cast("int").alias("parts"))
     thick = thick.withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     thick = thick.join(prints, "node").select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "f")
     return links.unionAll(thick.groupBy("key", "i", "j").applyInPandas(connect, "a long, b long"))
