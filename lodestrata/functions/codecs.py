@@ -1,13 +1,15 @@
 """Lossless codecs for columns of text, a batch of rows at a time, with a log of sizes and checksums.
 
-The quality codec writes symbols by their rank, the base codec two bits a base with exceptions beside
-them; both hand the rest to zstd. Values come back exactly, whatever characters they hold.
+The quality codec and the base codec code symbols by the ones before them (entropy.py), the latter with
+exceptions beside the four bases; the name codec cuts names at punctuation and writes each part's column by
+itself. Values come back exactly, whatever characters they hold.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 from collections.abc import Iterator
 
@@ -16,6 +18,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from lodestrata.functions import entropy
+
 LEVEL = 9
 #: Values in a block: what one call of a codec sees.
 BLOCK = 4096
@@ -57,58 +61,89 @@ def decode_plain(data: bytes) -> list[bytes | None]:
     return _cut(flat, np.frombuffer(lengths, "<i8"))
 
 
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    own = np.maximum(sizes, 0)
+    return np.unique(np.cumsum(own) - own)
+
+
 def encode_quality(values: list[bytes | None]) -> bytes:
-    """Symbols by rank of frequency; up to 16 symbols are packed two to a byte. A value equal to the one before it is only marked."""
+    """Symbols by their place among those that occur, under the ones before them. A value equal to the one before it is only marked."""
     same = np.array([i > 0 and v is not None and v == values[i - 1] for i, v in enumerate(values)], bool)
-    flat = np.frombuffer(b"".join(v for v, s in zip(values, same, strict=True) if v is not None and not s), np.uint8)
-    symbols = np.argsort(-np.bincount(flat, minlength=256), kind="stable")[: len(np.unique(flat))].astype(np.uint8)
-    ranks = np.zeros(256, np.uint8)
-    ranks[symbols] = np.arange(len(symbols))
-    coded = ranks[flat]
-    if len(symbols) <= 16:
-        coded = np.append(coded, np.zeros(len(coded) % 2, np.uint8)).reshape(-1, 2)
-        coded = coded[:, 0] | coded[:, 1] << 4
-    return zstandard.compress(_frames(_lengths(values), np.packbits(same).tobytes(), symbols.tobytes(), coded.tobytes()), LEVEL)
+    own = [b"" if v is None or s else v for v, s in zip(values, same, strict=True)]
+    symbols, coded = np.unique(np.frombuffer(b"".join(own), np.uint8), return_inverse=True)
+    stream = entropy.encode(coded, _starts(np.array([len(v) for v in own], np.int64)), max(1, len(symbols)))
+    return _frames(zstandard.compress(_frames(_lengths(values), np.packbits(same).tobytes()), LEVEL), symbols.tobytes(), stream)
 
 
 def decode_quality(data: bytes) -> list[bytes | None]:
-    lengths, same, symbols, coded = _unframe(zstandard.decompress(data))
+    head, symbols, stream = _unframe(data)
+    lengths, same = _unframe(zstandard.decompress(head))
     sizes = np.frombuffer(lengths, "<i8")
     marks = np.unpackbits(np.frombuffer(same, np.uint8))[: len(sizes)].astype(bool)
-    table, ranks = np.frombuffer(symbols, np.uint8), np.frombuffer(coded, np.uint8)
-    if len(table) <= 16:
-        ranks = np.stack([ranks & 15, ranks >> 4], axis=1).ravel()
     own = np.where(marks, 0, sizes)
-    total = int(np.maximum(own, 0).sum())
-    found = _cut(table[ranks[:total]].tobytes() if total else b"", own)
+    coded = entropy.decode(stream, _starts(own))
+    found = _cut(np.frombuffer(symbols, np.uint8)[coded].tobytes() if len(coded) else b"", own)
     for i in np.flatnonzero(marks):
         found[i] = found[i - 1]
     return found
 
 
 def encode_bases(values: list[bytes | None]) -> bytes:
-    """A, C, G and T in two bits; every other character, lower case too, by place and as it was."""
+    """A, C, G and T as four symbols; every other character, lower case too, by place and as it was."""
     flat = np.frombuffer(b"".join(v or b"" for v in values), np.uint8)
     codes = _CODES[flat]
     odd = np.flatnonzero(codes == 255)
-    codes = np.append(np.where(codes == 255, 0, codes), np.zeros(-len(codes) % 4, np.uint8)).reshape(-1, 4).astype(np.uint8)
-    packed = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    return zstandard.compress(_frames(_lengths(values), packed.astype(np.uint8).tobytes(), np.diff(odd, prepend=0).astype("<i8").tobytes(), flat[odd].tobytes()), LEVEL)
+    stream = entropy.encode(np.where(codes == 255, 0, codes), _starts(np.array([len(v or b"") for v in values], np.int64)), 4)
+    return _frames(zstandard.compress(_frames(_lengths(values), np.diff(odd, prepend=0).astype("<i8").tobytes(), flat[odd].tobytes()), LEVEL), stream)
 
 
 def decode_bases(data: bytes) -> list[bytes | None]:
-    lengths, packed, steps, odd = _unframe(zstandard.decompress(data))
-    sizes, p = np.frombuffer(lengths, "<i8"), np.frombuffer(packed, np.uint8)
-    flat = np.frombuffer(b"ACGT", np.uint8)[np.stack([p & 3, p >> 2 & 3, p >> 4 & 3, p >> 6], axis=1).ravel()][: int(np.maximum(sizes, 0).sum())].copy()
+    head, stream = _unframe(data)
+    lengths, steps, odd = _unframe(zstandard.decompress(head))
+    sizes = np.frombuffer(lengths, "<i8")
+    flat = np.frombuffer(b"ACGT", np.uint8)[entropy.decode(stream, _starts(sizes))].copy()
     flat[np.cumsum(np.frombuffer(steps, "<i8"))] = np.frombuffer(odd, np.uint8)
     return _cut(flat.tobytes(), sizes)
 
 
-CODECS = {"ZSTD": (encode_plain, decode_plain), "RC_QUAL": (encode_quality, decode_quality), "RC_BASES": (encode_bases, decode_bases)}
+_PARTS = re.compile(rb"[0-9]+|[^0-9]+")
+
+
+def encode_names(values: list[bytes | None]) -> bytes:
+    """Names in parts of digits and of other characters. Parts in the same place are written together: numbers less the one before, others as they are."""
+    parts = [_PARTS.findall(v or b"") for v in values]
+    columns: list[bytes] = []
+    for k in range(max(map(len, parts), default=0)):
+        own = [p[k] for p in parts if k < len(p)]
+        if all(x.isdigit() and len(x) <= 18 and (x[:1] != b"0" or x == b"0") for x in own):
+            columns.append(b"n" + np.diff(np.array([int(x) for x in own], np.int64), prepend=0).astype("<i8").tobytes())
+        else:
+            columns.append(b"t" + _frames(_lengths(own), b"".join(own)))
+    counts = np.array([-1 if v is None else len(p) for v, p in zip(values, parts, strict=True)], "<i4").tobytes()
+    return _frames(*(zstandard.compress(c, LEVEL) for c in [counts, *columns]))
+
+
+def decode_names(data: bytes) -> list[bytes | None]:
+    counts, *columns = map(zstandard.decompress, _unframe(data))
+    sizes = np.frombuffer(counts, "<i4")
+    out: list[list[bytes]] = [[] for _ in sizes]
+    for k, column in enumerate(columns):
+        at = np.flatnonzero(sizes > k).tolist()
+        if column[:1] == b"n":
+            own = [b"%d" % x for x in np.cumsum(np.frombuffer(column[1:], "<i8")).tolist()]
+        else:
+            lengths, flat = _unframe(column[1:])
+            own = _cut(flat, np.frombuffer(lengths, "<i8"))
+        for i, x in zip(at, own, strict=True):
+            out[i].append(x)
+    return [None if n < 0 else b"".join(p) for n, p in zip(sizes.tolist(), out, strict=True)]
+
+
+CODECS = {"ZSTD": (encode_plain, decode_plain), "RC_QUAL": (encode_quality, decode_quality), "RC_BASES": (encode_bases, decode_bases), "RC_ILLUMINA_NAME": (encode_names, decode_names)}
 
 
 def compress(batched: DataFrame, field: str, codec: str, key: str = "_ordinal") -> DataFrame:
-    """keys, data and log (codec, sizes and MD5 before) for blocks of rows of a text column; a block is what one task reads in a row."""
+    """keys, data and log (codec, sizes, MD5 before and after) for blocks of rows of a text column; a block is what one task reads in a row."""
     encode = CODECS[codec][0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +152,7 @@ def compress(batched: DataFrame, field: str, codec: str, key: str = "_ordinal")
                 part = batch.slice(at, BLOCK)
                 values = [None if v is None else v.encode("utf-8", "surrogatepass") for v in part.column(1).to_pylist()]
                 data, plain = encode(values), b"".join(v or b"" for v in values)
-                log = json.dumps({"codec": codec, "u_sz": len(plain), "c_sz": len(data), "md5": hashlib.md5(plain).hexdigest()})
+                log = json.dumps({"codec": codec, "u_sz": len(plain), "c_sz": len(data), "md5": hashlib.md5(plain).hexdigest(), "c_md5": hashlib.md5(data).hexdigest()})
                 yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([data], pa.binary()), pa.array([log])], ["keys", "data", "log"])
 
     return batched.select(key, field).mapInArrow(run, "keys array<bigint>, data binary, log string")
@@ -130,6 +165,8 @@ def decompress(blocks: DataFrame, field: str, key: str = "_ordinal") -> DataFram
         for batch in batches:
             for keys, data, log in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 told = json.loads(log)
+                if hashlib.md5(data).hexdigest() != told["c_md5"]:
+                    raise ValueError("a block's stored bytes differ from their checksum")
                 values = CODECS[told["codec"]][1](data)
                 if hashlib.md5(b"".join(v or b"" for v in values)).hexdigest() != told["md5"]:
                     raise ValueError("a block differs from its checksum")

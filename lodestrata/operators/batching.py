@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows in a record batch.
 BATCH = 65_536
-#: Ranges of the order key that are numbered independently, at most.
-MAX_RANGES = 256
+#: Rows that a range of the order key should have, which one task sorts and numbers.
+RANGE = 1 << 20
+
+
+def _range_of(key: Column, cuts: list[float]) -> Column:
+    """How many cuts lie below key, by halving: a few comparisons a row, however many cuts there are."""
+    if not cuts:
+        return F.lit(0)
+    held = F.lit(np.array(cuts, float))
+    steps = F.lit(np.array([1 << i for i in reversed(range(len(cuts).bit_length()))], np.int32))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) < key, at + step).otherwise(at))
 
 
 def with_ordinal(df: DataFrame, order: str, name: str = "_ordinal") -> DataFrame:
     """df with each row's place (bigint, from 0) in the order of a numeric or time column without repeats.
 
-    The key's quantiles cut it into ranges of about equal size. Rows are numbered within their range, and
-    what the ranges before it hold is added, so no task sorts more than a range. Nulls come first.
+    The key's quantiles cut it into ranges of about equal size, as many as the rows need. Rows are numbered
+    within their range, and what the ranges before it hold is added, so no task sorts more than a range.
+    Nulls come first.
     """
     key = F.col(order).cast("double")
-    ranges = min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE))
     shares = [i / ranges for i in range(1, ranges)]
     cuts = sorted({c for c in (df.agg(F.percentile_approx(key, shares, 10 * ranges)).first()[0] or []) if c is not None}) if shares else []
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < key)) if cuts else F.lit(0)
-    dealt = df.withColumn("_range", F.when(key.isNull(), F.lit(-1)).otherwise(part))
-    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # at most MAX_RANGES + 1 rows
+    dealt = df.withColumn("_range", F.when(key.isNull(), F.lit(-1)).otherwise(_range_of(key, cuts)))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # one small row a range
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = F.broadcast(sizes.select("_range", before.alias("_before")))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1

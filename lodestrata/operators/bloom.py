@@ -45,12 +45,13 @@ def build(df: DataFrame, field: str, bits: int, within: list[str] | None = None)
     return df.where(F.col(field).isNotNull()).groupBy(*(within or []), _block(h, blocks).alias("block")).agg(*words)
 
 
-def probe(df: DataFrame, field: str, sieve: DataFrame, bits: int) -> DataFrame:
-    """The rows whose value may be in the filter; those left out surely aren't."""
+def probe(df: DataFrame, field: str, sieve: DataFrame, bits: int, within: Column | None = None) -> DataFrame:
+    """The rows whose value may be in the filter (that of their group, where within tells which it is); those left out surely aren't."""
     h, blocks = F.xxhash64(field), max(1, bits // 256)
     hit = reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(m) == m for i, m in enumerate(_masks(h))])
-    sent = F.broadcast(sieve) if bits // 8 * 3 <= BROADCAST_BYTES else sieve
-    return df.join(sent, _block(h, blocks) == F.col("block")).where(hit).select(*[df[c] for c in df.columns])
+    sent = F.broadcast(sieve) if within is None and bits // 8 * 3 <= BROADCAST_BYTES else sieve
+    on = _block(h, blocks) == F.col("block")
+    return df.join(sent, on if within is None else on & within).where(hit).select(*[df[c] for c in df.columns])
 
 
 def semi_join(df: DataFrame, field: str, members: DataFrame, key: str, fpp: float = 0.05) -> DataFrame:
@@ -60,11 +61,15 @@ def semi_join(df: DataFrame, field: str, members: DataFrame, key: str, fpp: floa
     return probe(df, field, build(keys, field, bits), bits).join(keys, field, "left_semi").select(*df.columns)
 
 
-def may_have(df: DataFrame, field: str, value, bits: int, within: list[str]) -> DataFrame:
-    """The groups (within) whose filter may hold value, from a filter built by group."""
-    spark = df.sparkSession
-    one = spark.range(1).select(F.lit(value).cast(df.schema[field].dataType).alias(field))
-    h, blocks = F.xxhash64(field), max(1, bits // 256)
+def holding(sieve: DataFrame, value, kind: str, bits: int, within: list[str]) -> DataFrame:
+    """The groups (within) whose filter may hold value; sieve: as build() makes it by group, or read back."""
+    one = sieve.sparkSession.range(1).select(F.lit(value).cast(kind).alias("v"))
+    h, blocks = F.xxhash64("v"), max(1, bits // 256)
     wanted = one.select(_block(h, blocks).alias("block"), *[m.alias(f"m{i}") for i, m in enumerate(_masks(h))]).first()
     hit = reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(F.lit(wanted[f"m{i}"])) == F.lit(wanted[f"m{i}"]) for i in range(8)])
-    return build(df, field, bits, within).where((F.col("block") == wanted["block"]) & hit).select(*within)
+    return sieve.where((F.col("block") == wanted["block"]) & hit).select(*within)
+
+
+def may_have(df: DataFrame, field: str, value, bits: int, within: list[str]) -> DataFrame:
+    """The groups (within) whose filter may hold value, from a filter built by group."""
+    return holding(build(df, field, bits, within), value, df.schema[field].dataType.simpleString(), bits, within)

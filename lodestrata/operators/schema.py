@@ -143,3 +143,9 @@ def local_fields(batched: DataFrame, names: Column, order: str) -> DataFrame:
     """batch_id, field, local_id: each batch's own numbering of the fields that occur in it."""
     each = batched.select("batch_id", order, F.posexplode(names).alias("slot", "field"))
     return first_seen(each, ["field"], F.struct(order, "slot"), ["batch_id"], "local_id").select("batch_id", "field", "local_id")
+
+
+def local_id(local: DataFrame, batch: int, field: str) -> int:
+    """The number of a field in a batch of local_fields(), or -1."""
+    found = local.where((F.col("batch_id") == batch) & (F.col("field") == field)).first()
+    return found["local_id"] if found else -1

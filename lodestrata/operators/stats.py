@@ -27,6 +27,30 @@ def segment_stats(batched: DataFrame, fields: list[str]) -> DataFrame:
     return wide.select("batch_id", F.explode(each).alias("s")).select("batch_id", "s.*")
 
 
+def column_stats(batched: DataFrame, fields: list[str]) -> DataFrame:
+    """batch_id, field, n_records, n_elements, n_null, min_v, max_v (double) of every column: extremes of numbers, and of the elements of number arrays.
+
+    n_elements counts the elements of arrays, and the valid values otherwise.
+    """
+    numbers = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, f in enumerate(fields):
+        t, null = batched.schema[f].dataType, F.lit(None).cast("double")
+        lo, hi = null, null
+        size = F.count(f)
+        if isinstance(t, numbers):
+            lo, hi = F.min(_valid(batched, f)).cast("double"), F.max(_valid(batched, f)).cast("double")
+        elif isinstance(t, T.ArrayType):
+            size = F.coalesce(F.sum(F.when(F.col(f).isNotNull(), F.size(f))), F.lit(0))
+            if isinstance(t.elementType, numbers):
+                own = F.filter(f, lambda x: ~F.isnan(x.cast("double")))
+                lo, hi = F.min(F.array_min(own)).cast("double"), F.max(F.array_max(own)).cast("double")
+        aggs += [F.count_if(F.col(f).isNull()).alias(f"u{i}"), size.cast("long").alias(f"e{i}"), lo.alias(f"lo{i}"), hi.alias(f"hi{i}")]
+    wide = batched.groupBy("batch_id").agg(*aggs)
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col("n").alias("n_records"), F.col(f"e{i}").alias("n_elements"), F.col(f"u{i}").alias("n_null"), F.col(f"lo{i}").alias("min_v"), F.col(f"hi{i}").alias("max_v")) for i, f in enumerate(fields)])
+    return wide.select("batch_id", F.explode(each).alias("s")).select("batch_id", "s.*")
+
+
 def tensor_stats(df: DataFrame, id_col: str, field: str) -> DataFrame:
     """id, min_e, max_e, n_elements of an array column's elements, by row."""
     return df.select(id_col, F.array_min(field).alias("min_e"), F.array_max(field).alias("max_e"), F.size(field).alias("n_elements"))

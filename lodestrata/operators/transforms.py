@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.batching import with_ordinal
+
 #: The names of the transforms, compressors first, then encoders.
 COMPRESSORS = ("AUTO", "ZSTD", "NONE", "RC_QUAL", "RC_BASES", "RC_ILLUMINA_NAME")
 ENCODERS = ("DICT", "DELTA", "DELTA_DELTA", "BASES_2BIT")
@@ -51,8 +53,6 @@ def difference(df: DataFrame, field: str, order: str, name: str, times: int = 1,
     Differences within a range of the order need that range's rows and the last ones before it, so each
     range also gets copies of the neighbouring range's last rows, and no task sorts the whole table.
     """
-    from lodestrata.operators.batching import with_ordinal
-
     rows = with_ordinal(df, order).withColumn("_part", F.floor(F.col("_ordinal") / ranges).cast("long"))
     inside = F.pmod("_ordinal", F.lit(ranges))
     spread = rows.withColumn("_to", F.explode(F.when(inside >= ranges - times, F.array("_part", F.col("_part") + 1)).otherwise(F.array("_part"))))
@@ -95,24 +95,36 @@ def two_bit(df: DataFrame, seq: str) -> DataFrame:
     return df.withColumns({"n_bases": F.char_length(seq), "codes": F.translate(seq, "ACGTN", "01230"), "n_masked": F.char_length(seq) - F.char_length(F.replace(seq, F.lit("N"), F.lit("")))})
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pack_bases(df: DataFrame, seq: str) -> DataFrame:
     """df with packed (binary, four bases a byte), n_bases and other (pos, char): all that isn't A, C, G or T as it was, lower case too.
 
-    Built-in functions only: pairs of bases become hexadecimal digits, two of which make a byte.
+    Built-in functions only: sixteen bases at a time are a number in base four, and eight hexadecimal digits.
     """
     plain = F.translate(F.regexp_replace(seq, "[^ACGT]", "A"), "ACGT", "0123")
-    padded = F.concat(plain, F.repeat(F.lit("0"), F.pmod(-F.char_length(plain), F.lit(4))))
-    quads = F.filter(F.split(padded, "(?<=\\G.{2})"), lambda x: x != "")
-    digit = lambda x: F.lower(F.hex(F.substring(x, 1, 1).cast("int") * 4 + F.substring(x, 2, 1).cast("int")))
-    chars = F.split(seq, "")
-    other = F.filter(F.transform(chars, lambda c, i: F.when(~c.isin("A", "C", "G", "T", ""), F.struct(i.alias("pos"), c.alias("char")))), lambda x: x.isNotNull())
-    return df.withColumns({"n_bases": F.char_length(seq), "packed": F.unhex(F.array_join(F.transform(quads, digit), "")), "other": other})
+    words = F.regexp_extract_all(F.concat(plain, F.repeat(F.lit("0"), F.pmod(-F.char_length(plain), F.lit(16)))), F.lit(".{16}"), F.lit(0))
+    digits = F.array_join(F.transform(words, lambda x: F.lpad(F.conv(x, 4, 16), 8, "0")), "")
+    packed = F.unhex(F.substring(digits, F.lit(1), F.ceil(F.char_length(seq) / 4).cast("int") * 2))
+    other = F.filter(F.transform(F.split(seq, ""), lambda c, i: F.when(~c.isin("A", "C", "G", "T", ""), F.struct(i.alias("pos"), c.alias("char")))), lambda x: x.isNotNull())
+    return df.withColumns({"n_bases": F.char_length(seq), "packed": packed, "other": other})
 
 
 def unpack_bases(df: DataFrame, name: str) -> DataFrame:
     """df with name: the sequence that pack_bases() packed."""
-    bits = F.transform(F.split(F.hex("packed"), ""), lambda h: F.when(h == "", F.lit("")).otherwise(F.lpad(F.conv(h, 16, 4), 2, "0")))
-    plain = F.translate(F.substring(F.array_join(bits, ""), F.lit(1), F.col("n_bases")), "0123", "ACGT")
-    chars = F.filter(F.split(plain, ""), lambda c: c != "")
-    marks = F.map_from_entries(F.transform("other", lambda o: F.struct(o["pos"], o["char"])))
-    return df.withColumn("_marks", marks).withColumn(name, F.array_join(F.transform(chars, lambda c, i: F.coalesce(F.try_element_at(F.col("_marks"), i), c)), "")).drop("_marks")
+    digits = F.hex("packed")
+    words = F.regexp_extract_all(F.concat(digits, F.repeat(F.lit("0"), F.pmod(-F.char_length(digits), F.lit(8)))), F.lit(".{8}"), F.lit(0))
+    four = F.array_join(F.transform(words, lambda x: F.lpad(F.conv(x, 16, 4), 16, "0")), "")
+    plain = F.translate(F.substring(four, F.lit(1), F.col("n_bases")), "0123", "ACGT")
+
+    def patched(chars: Column) -> Column:
+        """The bases before each other character and that character, and what follows the last one."""
+        begin = lambda i: F.coalesce(F.get("other", i - 1)["pos"] + 1, F.lit(0))
+        parts = F.transform("other", lambda o, i: F.concat(F.array_join(F.slice(chars, begin(i) + 1, o["pos"] - begin(i)), ""), o["char"]))
+        last = begin(F.size("other"))
+        return F.concat(F.array_join(parts, ""), F.array_join(F.slice(chars, last + 1, F.greatest(F.col("n_bases") - last, F.lit(0))), ""))
+
+    return df.withColumn(name, F.when(F.size("other") == 0, plain).otherwise(_let(F.split(plain, ""), patched)))

@@ -22,9 +22,9 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     at = lambda i: F.get("p", F.lit(i))
     name = lambda i: F.get(F.split(at(0), ":"), F.lit(i))
     names = [(F.when(name(i).isNotNull(), atoi(name(i))) if number else name(i)).alias(n) for i, (n, number) in enumerate(NAME_PARTS)]
-    tags = F.transform(F.when(F.size("p") > 11, F.slice("p", 12, 1_000_000)).otherwise(F.array().cast("array<string>")), tag)
+    tags = F.transform(F.when(F.size("p") > 11, F.slice("p", F.lit(12), F.size("p"))).otherwise(F.array().cast("array<string>")), tag)
     # A map may not hold a key twice: only the last of equal names stays.
-    last = F.filter(tags, lambda t, i: ~F.exists(F.slice(tags, i + 2, 1_000_000), lambda u: u["tag"] == t["tag"]))
+    last = F.filter(tags, lambda t, i: ~F.exists(F.slice(tags, i + 2, F.size(tags)), lambda u: u["tag"] == t["tag"]))
     pairs = F.transform(last, lambda t: F.struct(t["tag"].alias("key"), F.struct(t["tag_type"].alias("type"), t["tag_value"].alias("value")).alias("value")))
     return rows.select(
         "path", "line_no", *names,
@@ -39,9 +39,9 @@ def tag_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select("*", *[F.try_element_at("tags", F.lit(n))["value"].try_cast(kinds.get(t, "string")).alias(n) for n, t in names.items()])
 
 
-def with_reference_ids(df: DataFrame) -> DataFrame:
-    """df with RNAME_id and RNEXT_id from one dictionary over both columns, by first appearance."""
-    ids = string_dictionary(df, ["RNAME", "RNEXT"], "line_no")
+def with_reference_ids(df: DataFrame, order: str = "line_no") -> DataFrame:
+    """df with RNAME_id and RNEXT_id from one dictionary over both columns, by first appearance in the order of a column."""
+    ids = string_dictionary(df, ["RNAME", "RNEXT"], order)
     for c in ("RNAME", "RNEXT"):
         df = df.join(ids.select(F.col("token").alias(c), F.col("id").alias(f"{c}_id")), c, "left")
     return df

@@ -6,17 +6,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Up to so many file blocks, their counts are broadcast.
+MAX_BLOCKS = 200_000
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line_no (from 0 in each file), value.
 
     Lines are counted by file block first; a line's number is what the file's blocks before its own hold,
-    and its place in the block. Blocks are few, their counts are sent to every executor.
+    and its place in the block. The blocks' counts are sent to every executor if they are few.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_id"))
     blocks = lines.groupBy("path", "block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = blocks.select("path", "block", "_first", before.alias("_before"))
-    return lines.join(F.broadcast(starts), ["path", "block"]).select("path", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line_no"), "value")
+    few = starts.limit(MAX_BLOCKS + 1).count() <= MAX_BLOCKS
+    return lines.join(F.broadcast(starts) if few else starts, ["path", "block"]).select("path", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line_no"), "value")
 
 
 #: The columns of tab-separated annotation formats.
@@ -41,4 +46,4 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     window = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     each = heads.withColumn("record", F.sum(F.col("head").cast("int")).over(window) - 1)
     rows = F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("line_no", "value"))))
-    return each.groupBy("path", "record").agg(F.max(F.when(F.col("head"), F.substring("value", 2, 1_000_000))).alias("name"), F.array_join(F.transform(rows, lambda r: F.trim(r["value"])), "").alias("seq"))
+    return each.groupBy("path", "record").agg(F.max(F.when(F.col("head"), F.substring("value", F.lit(2), F.char_length("value")))).alias("name"), F.array_join(F.transform(rows, lambda r: F.trim(r["value"])), "").alias("seq"))

@@ -1,5 +1,6 @@
 """The queries against their SQL on the smallest tables, where these are there."""
 
+import hashlib
 import glob
 import os
 
@@ -35,6 +36,25 @@ def test_query(spark, duck, name):
     assert sorted(tuple(map(told, r)) for r in df.collect()) == sorted(tuple(told(r[i]) for i in order) for r in want)
 
 
-def test_entry(spark):
-    assert entry.entry(spark).columns == ["event_id", "user_id", "event_type", "value"]
+def test_entry(spark, duck):
+    df = entry.entry(spark)
+    assert df.columns == ["event_id", "user_id", "event_type", "value"]
+    want = duck.sql("SELECT event_id, user_id, event_type, value FROM events WHERE value BETWEEN 20 AND 60").fetchall()
+    assert len(want) > 100 and sorted(map(tuple, df.collect())) == sorted(want)
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_sha512(spark, duck):
+    texts = dict(duck.sql("SELECT doc_id, text FROM documents").fetchall())
+    got = {r["doc_id"]: r["digest"] for r in catalogue.QUERIES["sha512"](spark, SMALL).collect()}
+    assert got == {i: None if t is None else hashlib.sha512(t.encode()).hexdigest() for i, t in texts.items()}
+
+
+def test_other_queries_stand_alone():
+    """Without the training-data operators, or what they need, all other queries are there."""
+    import subprocess
+    import sys
+
+    told = "import sys; sys.modules['xxhash'] = None\nimport __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", told], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert out.stdout.split() == [str(len(catalogue.QUERIES)), str(len(oracle.ORACLES))]

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from lodestrata.operators import arrays, batching, bloom, dictionary, prune, schema, stats, transforms
+from lodestrata.operators import arrays, batching, bloom, dictionary, pipeline, prune, schema, stats, transforms
 from lodestrata.types import checked, logical
 from pyspark.sql import functions as F
 
@@ -21,9 +21,9 @@ def test_ordinals(spark):
 @pytest.mark.parametrize(
     "kind, values, low, high, inside, outside",
     [
-        ("tinyint", [-100, -50, 25, 1], -100, 25, [(-25, 10), (-120, -90), (20, 50), (-120, 50), (25, 30), (-110, -100), (10, -25)], [(50, 100), (-120, -110)]),
-        ("long", [2501, 1409, 249181, 1312], 1312, 249181, [], []),
-        ("double", [2501.121, 1409.51, -24918112.812, 1312.12], -24918112.812, 2501.121, [(-20918112.5, 1200.51), (10000, -500000000)], [(-500000000, -400000000), (10000, 50000.2841)]),
+        ("tinyint", [-90, -7, 33, 2], -90, 33, [(-20, 5), (-120, -80), (30, 60), (-125, 99), (33, 40), (-95, -90), (5, -20)], [(34, 100), (-120, -91)]),
+        ("long", [77, 5012, 81, 4000000], 77, 4000000, [], []),
+        ("double", [3.25, 70.5, -6000.75, 12.0], -6000.75, 70.5, [(-100.5, 1.5), (99, -99999)], [(-99999, -7000), (70.75, 80.5)]),
         ("double", [-3.5, -2.5], -3.5, -2.5, [(-3, -3)], [(-2, 0)]),
         ("double", [float("nan"), 1.0], 1.0, 1.0, [(1, 1)], [(2, 3)]),
     ],
@@ -70,16 +70,16 @@ def test_dictionary(spark):
 
 
 def test_tensor_dictionary(spark):
-    arrays_ = [[10, 12, 14, 21], [12, 14, 16], [21, 49], [10, 12, 14, 21]]
+    arrays_ = [[7, 3, 9, 30], [3, 9, 11], [30, 55], [7, 3, 9, 30]]
     df = spark.createDataFrame(list(enumerate(arrays_)), "id long, v array<int>")
     values = dictionary.dictionary(df, "v", "id", None)
     assert [r["v"] for r in values.orderBy("code").collect()] == arrays_[:3]
     assert values.agg(F.sum(F.size("v"))).first()[0] == 9
     one = lambda test: [r[0] for r in df.orderBy("id").select(test).collect()]
-    assert one(dictionary.equals_array(F.col("v"), [21, 49])) == [False, False, True, False]
-    assert one(dictionary.equals_array(F.col("v"), [10, 12])) == [False] * 4
-    assert one(dictionary.starts_with(F.col("v"), [10, 12])) == [True, False, False, True]
-    assert one(dictionary.any_element(F.col("v"), 12)) == [1, 1, 0, 1]
+    assert one(dictionary.equals_array(F.col("v"), [30, 55])) == [False, False, True, False]
+    assert one(dictionary.equals_array(F.col("v"), [7, 3])) == [False] * 4
+    assert one(dictionary.starts_with(F.col("v"), [7, 3])) == [True, False, False, True]
+    assert one(dictionary.any_element(F.col("v"), 3)) == [1, 1, 0, 1]
 
 
 @pytest.mark.parametrize("distinct, total, pays", [(1, 5, False), (1, 6, True), (2, 10, False), (10, 10, False)])
@@ -92,7 +92,7 @@ def test_bloom(spark):
     assert bloom.optimal_bits(1000, 0.05) == 8192 and bloom.optimal_bits(1, 0.5) == 256
     with pytest.raises(ValueError):
         bloom.optimal_bits(10, 1.5)
-    names = ["john doe", "bananman", "superman", "johnsson", "dawn", "sun"] + [f"member {i}" for i in range(994)]
+    names = [f"member {i}" for i in range(1000)]
     members = spark.createDataFrame([(n,) for n in names], "v string")
     others = spark.createDataFrame([(f"other {i}",) for i in range(4000)], "v string")
     bits = bloom.optimal_bits(1000, 0.05)
@@ -212,3 +212,66 @@ def test_compression_fold(spark):
     df = spark.createDataFrame([("a", 0, 0, 100, 20), ("a", 0, 1, 50, 10), ("a", 1, 0, 60, 20), ("b", 0, 0, 0, 0)], "field string, batch_id int, column_no int, u_sz long, c_sz long")
     got = {r["field"]: (r["n_columns"], r["u_sz"], r["c_sz"], r["fold"]) for r in stats.compression_fold(df).collect()}
     assert got == {"a": (1.5, 210, 50, 4.2), "b": (1.0, 0, 0, 0.0)}
+
+
+@pytest.mark.parametrize("partitions", ["1", "7", "300"])
+def test_ordinals_with_any_number_of_ranges(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        keys = random.Random(3).sample(range(10**6), 500)
+        got = batching.with_ordinal(spark.createDataFrame([(k,) for k in [*keys, None]], "k long"), "k").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [r["_ordinal"] for r in sorted(got, key=lambda r: (r["k"] is not None, r["k"]))] == list(range(501))
+
+
+TEXTS = [None, "", "ACGTNacgt", "AC", "longer text é", "AC", "AC", ""] * 20
+PIPELINES = [
+    (TEXTS, "string", [[], ["AUTO"], ["ZSTD"], ["DICT", "ZSTD"], ["RC_QUAL"], ["RC_BASES"], ["RC_ILLUMINA_NAME"], ["BASES_2BIT", "ZSTD"], ["BASES_2BIT", "DELTA_DELTA", "DICT", "RC_QUAL"], ["DELTA", "ZSTD", "ZSTD"], ["NONE"], ["DICT", "ZSTD", "RC_BASES"], ["DICT"]]),
+    ([5, None, 7, 7, 5, 2**32 - 1, 0], "bigint", [[], ["DELTA"], ["DELTA", "ZSTD"], ["DELTA_DELTA", "DICT", "ZSTD"], ["DICT"], ["NONE"]]),
+    ([[1, 2, 3], None, [], [1, 2, 3], [9]], "array<int>", [[], ["DICT", "ZSTD"], ["DELTA", "ZSTD"], ["DELTA_DELTA"]]),
+    ([1.5, None, -2.25, 1e300, 1.5], "double", [[], ["DICT", "ZSTD"]]),
+    ([None, None], "string", [[], ["DICT"], ["RC_BASES"]]),
+]
+
+
+@pytest.mark.parametrize("values, kind, specs", PIPELINES)
+def test_pipelines_come_back(values, kind, specs):
+    inner, tensor = (kind[6:-1], True) if kind.startswith("array") else (kind, False)
+    for names in specs:
+        c = pipeline.column(values, inner, tensor)
+        data, log = pipeline.transform(c, names)
+        back = pipeline.restore(data, log)
+        assert back.rows() == c.rows() and (back.valid == c.valid).all(), names
+        assert [e["transform"] for e in log][:1] == ["PLAIN"]
+        worse = data[:-3] + bytes(3) if len(data) > 3 else data
+        with pytest.raises(Exception, match="."):
+            pipeline.restore(worse[: len(worse) // 2], log)
+
+
+def test_pipeline_over_batches(spark):
+    for values, kind, specs in PIPELINES:
+        rows = batched(spark, values, kind, 50)
+        for names in specs[:2]:
+            coded = pipeline.encode(rows, "v", names)
+            back = pipeline.decode(coded, "v", rows.schema["v"].dataType).orderBy("_ordinal").collect()
+            assert [r["v"] for r in back] == values
+    broken = coded.withColumn("log", F.transform("log", lambda e: e.withField("md5", F.lit("0"))))
+    with pytest.raises(Exception, match="checksum"):
+        pipeline.decode(broken, "v", rows.schema["v"].dataType).collect()
+
+
+def test_wrong_transforms_raise():
+    whole, text = pipeline.column([1, 2], "bigint", False), pipeline.column(["a"], "string", False)
+    for c, names, error in [(whole, ["RC_QUAL"], TypeError), (whole, ["BASES_2BIT"], TypeError), (pipeline.column([-1], "bigint", False), ["DELTA"], TypeError), (pipeline.column([0.5], "double", False), ["DELTA"], TypeError), (text, ["ZSTD", "DICT"], ValueError), (text, ["LZ"], ValueError)]:
+        with pytest.raises(error):
+            pipeline.transform(c, names)
+
+
+def test_automatic_choice():
+    few, many = [f"v{i % 3}" for i in range(100)], [f"v{i}" for i in range(100)]
+    assert pipeline.automatic(pipeline.column(few, "string", False)) == ["DICT", "ZSTD"] and pipeline.automatic(pipeline.column(many, "string", False)) == ["ZSTD"]
+    for n, kind, tensor, pays in [(20, "int", False, False), (19, "int", False, True), (30, "int", True, False), (29, "int", True, True)]:
+        values = [[i % n] if tensor else i % n for i in range(100)]
+        assert (pipeline.automatic(pipeline.column(values, kind, tensor)) == ["DICT", "ZSTD"]) is pays

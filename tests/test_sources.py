@@ -25,7 +25,7 @@ def test_numbers_and_tags(spark):
 
 
 def test_fastq(spark, tmp_path):
-    records = [(f"ERR194146.{i} HSQ1008:141:D0CC8ACXX:3:2204:14148:{i}/1", "ACGTN" * 3, "@@+II" * 3) for i in range(500)]
+    records = [(f"RUN77.{i} MACH3:21:FLOWA:3:11:512:{i}/1", "ACGTN" * 3, "@@+II" * 3) for i in range(500)]
     (tmp_path / "a.fastq").write_text("".join(f"@{n}\n{b}\n+\n{q}\n" for n, b, q in records))
     (tmp_path / "b.fastq").write_text("@r\nA\n+\n@\n")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
@@ -36,15 +36,15 @@ def test_fastq(spark, tmp_path):
     first = sorted((r for r in got if r["path"].endswith("a.fastq")), key=lambda r: r["record"])
     assert [(r["name"], r["BASES"], r["QUAL"]) for r in first] == records and len(got) == 501
     parts = spark.createDataFrame([(records[3][0],)], "n string").select(fastq.name_parts(F.col("n"))).first()[0]
-    assert parts == ["ERR194146", "3", "HSQ1008", "141", "D0CC8ACXX", "3", "2204", "14148", "3", "1"]
+    assert parts == ["RUN77", "3", "MACH3", "21", "FLOWA", "3", "11", "512", "3", "1"]
 
 
 def test_sam(spark, tmp_path):
-    rows = ["@HD\tVN:1.5", "ST-E00106:108:H03M0ALXX:1:1101:2248:1238\t99\tchr2\t100\t60\t5M\t=\t-5\t-250\tACGTN\tIIIII\tNM:i:-3\tRG:Z:x:y\tRG:Z:last", "r2\t4\t*\t0\t0\t*\tchr2\t0\t0\tA\tI"]
+    rows = ["@HD\tVN:1.5", "SEQ-X9:31:FLOWB:1:7:64:905\t99\tchr2\t100\t60\t5M\t=\t-5\t-250\tACGTN\tIIIII\tNM:i:-3\tRG:Z:x:y\tRG:Z:last", "r2\t4\t*\t0\t0\t*\tchr2\t0\t0\tA\tI"]
     (tmp_path / "a.sam").write_text("\n".join(rows) + "\n")
     df = sam.with_reference_ids(sam.tag_columns(sam.scan(spark, str(tmp_path)), {"NM": "i", "RG": "Z"})).orderBy("line_no").collect()
     a, b = df
-    assert (a["NAME-1"], a["NAME-2"], a["NAME-3"], a["NAME-7"], a["FLAG"], a["POS"], a["MAPQ"], a["PNEXT"], a["TLEN"]) == ("ST-E00106", 108, "H03M0ALXX", 1238, 99, 100, 60, -5, -250)
+    assert (a["NAME-1"], a["NAME-2"], a["NAME-3"], a["NAME-7"], a["FLAG"], a["POS"], a["MAPQ"], a["PNEXT"], a["TLEN"]) == ("SEQ-X9", 31, "FLOWB", 905, 99, 100, 60, -5, -250)
     assert (a["NM"], a["RG"], a["BASES"]) == (-3, "last", "ACGTN") and b["NM"] is None and b["NAME-2"] is None
     assert [(r["RNAME_id"], r["RNEXT_id"]) for r in df] == [(0, 1), (2, 0)]
 
@@ -66,7 +66,7 @@ def test_tables_and_fasta(spark, tmp_path):
     assert fa == [("one x", "ACGT"), ("two", ""), ("three", "NN")]
 
 
-@pytest.mark.parametrize("codec", ["ZSTD", "RC_QUAL", "RC_BASES"])
+@pytest.mark.parametrize("codec", ["ZSTD", "RC_QUAL", "RC_BASES", "RC_ILLUMINA_NAME"])
 def test_codecs(spark, codec):
     rng = random.Random(codec)
     letters = "ACGTNacgtRYß" if codec == "RC_BASES" else "".join(map(chr, range(33, 100)))
@@ -86,22 +86,74 @@ def test_codecs_small(values):
         assert decode(encode(raw)) == raw
 
 
+def test_entropy_coder():
+    import numpy as np
+    from lodestrata.functions import entropy
+
+    rng = np.random.default_rng(1)
+    for n, kinds, mean in [(0, 4, 10), (1, 1, 1), (7, 3, 2), (5000, 41, 100), (70_000, 4, 150), (3000, 256, 10), (20_000, 1, 50)]:
+        flat = np.clip(np.cumsum(rng.integers(-1, 2, n)) % kinds, 0, kinds - 1)
+        starts = np.unique(rng.integers(0, max(1, n), max(1, n // mean)))
+        data = entropy.encode(flat, starts, kinds)
+        assert (entropy.decode(data, starts) == flat).all()
+        if n >= 20_000:  # steps of -1, 0 and 1 hold log2(3) bits at most
+            assert len(data) * 8 < 1.3 * n * (1.6 if kinds > 1 else 0.5)
+
+
+def test_names_of_reads_shrink():
+    values = [f"HX7:{8 + i // 4000}:{1000 + i * 7}:{i * 13 % 997}/1".encode() for i in range(4096)] + [None, b"", b"odd name", b"007:x"]
+    data = codecs.encode_names(values)
+    assert codecs.decode_names(data) == values and len(data) < 0.6 * len(codecs.encode_plain(values))
+
+
 @pytest.mark.parametrize("split", [False, True])
 def test_archive(spark, tmp_path, split):
-    df = assign_batches(spark.createDataFrame([(i, i * 0.5 if i % 3 else None, [i] * (i % 3)) for i in range(50)], "id long, v double, t array<int>"), "id", 16)
-    archive.write(df, f"{tmp_path}/a", ("id",), split)
+    df = assign_batches(spark.createDataFrame([(i, i * 0.5 if i % 3 else None, [i] * (i % 3), f"k{i // 20}") for i in range(50)], "id long, v double, t array<int>, s string"), "id", 8)
+    path = f"{tmp_path}/a"
+    archive.write(df, path, dictionaries=("s",), blooms=("id",), transforms={"s": (), "v": ("ZSTD",), "t": ()}, split=split, part=2)
     key = lambda r: r["_ordinal"]
-    back = archive.read(spark, f"{tmp_path}/a").select(df.columns)
-    assert sorted(back.collect(), key=key) == sorted(df.collect(), key=key)
-    assert archive.batches(spark, f"{tmp_path}/a").count() == 4
-    assert archive.stats(spark, f"{tmp_path}/a").where("field = 'v' and batch_id = 0").first()["n_null"] == 6
-    assert sorted(archive.read(spark, f"{tmp_path}/a", ["v"]).columns) == ["_ordinal", "batch_id", "v"]
+    assert sorted(archive.read(spark, path).select(df.columns).collect(), key=key) == sorted(df.collect(), key=key)
+    assert archive.read(spark, path, ["v"]).columns == ["part", "batch_id", "_ordinal", "_schema_id", "v"]
+    assert archive.table(spark, path, "batches").count() == 7
+    stats = {(r["batch_id"], r["field"]): r for r in archive.table(spark, path, "column_stats").collect()}
+    assert stats[0, "v"]["n_null"] == 3 and stats[0, "t"]["n_elements"] == 7 and (stats[1, "t"]["min_v"], stats[1, "t"]["max_v"]) == (8.0, 14.0)
+    assert stats[0, "s"]["u_sz"] == 16 and stats[0, "id"]["u_sz"] is None
+    for c in ("s", "v", "t"):
+        assert sorted(map(tuple, archive.decoded(spark, path, c).collect())) == sorted(map(tuple, df.select("batch_id", "_ordinal", c).collect()), key=lambda r: r[:2])
+    found = {r["field"]: r for r in archive.describe(spark, path).collect()}
+    assert found["s"]["transforms"] == "AUTO" and found["v"]["n"] == 33 and found["id"]["fold"] == 0
+
+
+def test_scans_read_the_folders_that_can_hold_rows(spark, tmp_path):
+    df = assign_batches(spark.createDataFrame([(i, float(i), f"k{i // 20}", i * 7) for i in range(100)], "id long, v double, s string, u long"), "id", 10)
+    path = f"{tmp_path}/a"
+    archive.write(df, path, dictionaries=("s",), blooms=("u",), part=2)
+    ids = lambda rows: sorted(r["id"] for r in rows.collect())
+    left = lambda **tests: sorted(r["batch_id"] for r in archive.surviving(spark, path, **tests).collect())
+    assert left(ranges={"v": (35, 31)}) == [3] and left(members={"s": "k2"}) == [4, 5] and left(ranges={"v": (35, 45)}, members={"s": "k2"}) == [4]
+    assert 7 in left(hashed={"u": 77 * 7}) and len(left(hashed={"u": 77 * 7})) <= 3 and len(left(hashed={"u": -1})) <= 3
+    assert left(ranges={"s": (0, 1)}) == left() == list(range(10)) and left(members={"v": 3.0}) == list(range(10))
+    rows = archive.scan(spark, path, F.col("v").between(31, 35), ranges={"v": (31, 35)})
+    assert ids(rows) == [31, 32, 33, 34, 35]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan and "= 1)]" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert ids(archive.scan(spark, path, ranges={"v": (1000, 2000)})) == []
+
+
+def test_schemas_of_rows(spark, tmp_path):
+    df = assign_batches(spark.createDataFrame([(i, float(i) if i in (3, 14) else None) for i in range(30)], "id long, v double"), "id", 10)
+    pattern = F.when(F.col("v").isNotNull(), F.array(F.lit("id"), F.lit("v"))).otherwise(F.array(F.lit("id")))
+    archive.write(df, f"{tmp_path}/a", pattern=pattern)
+    assert [tuple(r) for r in archive.table(spark, f"{tmp_path}/a", "schemas").orderBy("schema_id").collect()] == [(["id"], 0, 28), (["id", "v"], 1, 2)]
+    assert sorted(r["id"] for r in archive.scan(spark, f"{tmp_path}/a", having=("v",)).collect()) == [3, 14]
+    assert sorted(r["batch_id"] for r in archive.surviving(spark, f"{tmp_path}/a", having=("v",)).collect()) == [0, 1]
 
 
 def test_empty_archive(spark, tmp_path):
     df = assign_batches(spark.createDataFrame([], "id long, v double"), "id", 16)
-    archive.write(df, f"{tmp_path}/a")
-    assert archive.read(spark, f"{tmp_path}/a").count() == archive.batches(spark, f"{tmp_path}/a").count() == 0
+    archive.write(df, f"{tmp_path}/a", dictionaries=("v",), blooms=("id",), transforms={"v": ()})
+    assert archive.read(spark, f"{tmp_path}/a").count() == archive.table(spark, f"{tmp_path}/a", "batches").count() == 0
+    assert archive.scan(spark, f"{tmp_path}/a", ranges={"v": (0, 1)}).count() == archive.describe(spark, f"{tmp_path}/a").count() == 0
 
 
 def test_stream(spark, tmp_path):
