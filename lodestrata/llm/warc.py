@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import new_path, pick, table
+from lodestrata.llm.common import pick, table
+from lodestrata.sources.scratch import new_path
 
 #: Payloads of fewer bytes are never revisits.
 MIN_REVISIT = 100
@@ -120,15 +121,19 @@ def import_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per page: page_id, payload_bytes, payload_digest, record_type, refers_to; written to an archive and read back."""
+    """Per page: page_id, payload_bytes, payload_digest, record_type, refers_to, and the SHA-256 of the rebuilt record; written to an archive and read back."""
     path = new_path(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
-    return read_archive(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
-
-
-SQL = """
-WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha256(coalesce(html, '')) AS d FROM pages),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
-SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to FROM f
+    return read_archive(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", F.sha2("record", 256).alias("record_sha256"))
+
+
+SQL = r"""
+WITH p AS (SELECT page_id, url, html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p),
+k AS (SELECT *, n >= 100 AND page_id <> first AS again, chr(13) || chr(10) AS e FROM f)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to,
+  sha256('WARC/1.1' || e || 'WARC-Type: ' || CASE WHEN again THEN 'revisit' ELSE 'response' END || e || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e
+    || coalesce('WARC-Target-URI: ' || regexp_replace(url, '[\r\n]+', ' ', 'g') || e, '') || 'WARC-Date: 1970-01-01T00:00:00Z' || e || 'WARC-Payload-Digest: sha256:' || d || e
+    || CASE WHEN again THEN 'WARC-Refers-To: <urn:page:' || first || '>' || e || 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' || e ELSE '' END
+    || 'Content-Type: text/html; charset=utf-8' || e || 'Content-Length: ' || CASE WHEN again THEN 0 ELSE n END || e || e || CASE WHEN again THEN '' ELSE coalesce(html, '') END || e || e) AS record_sha256 FROM k
 """
