@@ -8,8 +8,8 @@ leaves over goes to the pieces, so what is learned grows with the corpus. A text
 product of its words' marginal probabilities, each summed over all segmentations by a forward recursion on
 logarithms, and of its end.
 
-Words are counted over the whole corpus first, and their lattices are built once for every distinct word,
-in chunks of words of like length whose recursions run side by side. The most frequent words, a bounded
+Words are counted over the whole corpus first, and lattices are built once for every distinct word; the
+recursions of words of like length run side by side. The most frequent words, a bounded
 number of short ones, go to every executor; the others come from a join with the table of all words.
 """
 
@@ -35,8 +35,10 @@ PRIOR = 500.0
 #: Expectation steps end when the logarithm of the likelihood gains less than this share, or after so many.
 SETTLED, STEPS = 1e-3, 20
 #: Words, and cells of the table of words and places, of a chunk whose recursions run side by side.
-CHUNK, CELLS = 4096, 1 << 18
+CHUNK, CELLS = 4096, 1 << 17
 LN10 = math.log(10)
+#: An edge of a lattice: how far its end lies beyond that of the edge before it, its length in bytes, and its piece.
+EDGE = np.dtype([("step", "u1"), ("back", "u1"), ("piece", "<u4")])
 
 
 def vocabulary(path: str) -> dict[bytes, float]:
@@ -76,43 +78,42 @@ class Pieces:
         self.first = np.array([pieces[p] for p in self.names], float)
         self.number = {p[i:]: -1 for p in pieces for i in range(1, len(p))} | {p: k for k, p in enumerate(self.names)}
 
-    def edges(self, word: bytes) -> list[tuple[int, int, int]]:
-        """End, length and number of every piece in word, by end. Where a string is no end of a piece, nothing longer that ends like it is."""
-        get, out = self.number.get, []
+    def edges(self, word: bytes, steps: list[int], backs: list[int], numbers: list[int]) -> None:
+        """Appends every piece in word, by end: how far its end lies beyond the one before it, its length and its number.
+
+        Where a string is no end of a piece, nothing longer that ends like it is either.
+        """
+        get, last = self.number.get, 0
         for j in range(1, len(word) + 1):
             for i in range(j - 1, -1, -1):
                 if (k := get(word[i:j])) is None:
                     break
                 if k >= 0:
-                    out.append((j, j - i, k))
-        return out
+                    steps.append(j - last)
+                    backs.append(j - i)
+                    numbers.append(k)
+                    last = j
+
+
+def edge_array(own: list[bytes], pieces: Pieces) -> pa.Array:
+    """The edges of each word's lattice, as binary values."""
+    steps: list[int] = []
+    backs: list[int] = []
+    numbers: list[int] = []
+    ends = [0]
+    for w in own:
+        pieces.edges(w, steps, backs, numbers)
+        ends.append(len(numbers))
+    flat = np.empty(len(numbers), EDGE)
+    flat["step"], flat["back"], flat["piece"] = steps, backs, numbers
+    return pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((np.array(ends) * EDGE.itemsize).astype(np.int32)), pa.py_buffer(flat.tobytes())])
 
 
 class Chunk:
-    """The lattices of some words: edges by the place where they end, then by word."""
-
-    def __init__(self, lengths: np.ndarray, levels: np.ndarray, word: np.ndarray, back: np.ndarray, piece: np.ndarray) -> None:
-        self.lengths, self.levels, self.word, self.back, self.piece = lengths, levels, word, back, piece
-
-    @classmethod
-    def of(cls, own: list[bytes], pieces: Pieces) -> Chunk:
-        found = [np.array(pieces.edges(w), np.int32).reshape(-1, 3) for w in own]
-        lengths = np.array([len(w) for w in own], np.int32)
-        flat = np.concatenate([*found, np.zeros((0, 3), np.int32)])
-        word = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in found])
-        order = np.argsort(flat[:, 0], kind="stable")
-        levels = np.bincount(flat[:, 0], minlength=int(lengths.max(initial=0)) + 1).astype(np.int32)
-        return cls(lengths, levels, word[order], flat[order, 1], flat[order, 2])
-
-    def packed(self) -> bytes:
-        parts = [x.astype("<i4").tobytes() for x in (self.lengths, self.levels)] + [self.word.astype("<u2").tobytes(), self.back.astype("<u2").tobytes(), self.piece.astype("<i4").tobytes()]
-        return np.array([len(p) for p in parts], "<i8").tobytes() + b"".join(parts)
-
-    @classmethod
-    def unpacked(cls, data: bytes) -> Chunk:
-        ends = 40 + np.cumsum(np.frombuffer(data, "<i8", 5))
-        parts = [data[a:b] for a, b in zip([40, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-        return cls(*(np.frombuffer(p, t).astype(np.int64) for p, t in zip(parts, ("<i4", "<i4", "<u2", "<u2", "<i4"), strict=True)))
+    """The lattices of some words, by their places in a batch: edges by where they end, then by word."""
+
+    def __init__(self, rows: np.ndarray, lengths: np.ndarray, levels: np.ndarray, word: np.ndarray, back: np.ndarray, piece: np.ndarray) -> None:
+        self.rows, self.lengths, self.levels, self.word, self.back, self.piece = rows, lengths, levels, word, back, piece
 
     def forward(self, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each word over all its segmentations, and for each edge its share of what arrives where it ends."""
@@ -155,16 +156,34 @@ class Chunk:
             to = at
 
 
-def chunks(own: list[tuple[bytes, int]]) -> Iterator[list[tuple[bytes, int]]]:
-    """(word, count) pairs by length, in lists of bounded size."""
-    part: list[tuple[bytes, int]] = []
-    for word, count in sorted(own, key=lambda x: len(x[0])):
-        if part and (len(part) == CHUNK or (len(part) + 1) * len(word) > CELLS):
-            yield part
-            part = []
-        part.append((word, count))
-    if part:
-        yield part
+def chunks(sizes: np.ndarray, edges: pa.Array) -> Iterator[Chunk]:
+    """The lattices of a batch of words of so many bytes, those of like length together, in chunks of bounded size."""
+    n = len(sizes)
+    if not n:
+        return
+    ends = np.frombuffer(edges.buffers()[1], np.int32)[edges.offset : edges.offset + n + 1].astype(np.int64)
+    raw = edges.buffers()[2]
+    flat = (np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None else np.zeros(0, np.uint8)).view(EDGE)
+    many = np.diff(ends) // EDGE.itemsize
+    word, total = np.repeat(np.arange(n), many), np.cumsum(flat["step"].astype(np.int64))
+    before = np.concatenate([[0], total])[np.cumsum(many) - many]
+    end = total - before[word]
+
+    order, begin = np.argsort(sizes, kind="stable"), [0]
+    long = sizes[order].tolist()
+    for k, size in enumerate(long):
+        if k - begin[-1] == CHUNK or k > begin[-1] and (k - begin[-1] + 1) * size > CELLS:
+            begin.append(k)
+    begin.append(n)
+    chunk, place = np.empty(n, np.int64), np.empty(n, np.int64)
+    for c, (x, y) in enumerate(zip(begin, begin[1:], strict=False)):
+        chunk[order[x:y]], place[order[x:y]] = c, np.arange(y - x)
+    sort = np.lexsort((place[word], end, chunk[word]))
+    cuts = np.searchsorted(chunk[word][sort], np.arange(len(begin)))
+    for c, (x, y) in enumerate(zip(begin, begin[1:], strict=False)):
+        own = sort[cuts[c] : cuts[c + 1]]
+        rows = order[x:y]
+        yield Chunk(rows, sizes[rows], np.bincount(end[own], minlength=long[y - 1] + 1), place[word[own]], flat["back"][own].astype(np.int64), flat["piece"][own].astype(np.int64))
 
 
 def is_held_out(id_: Column) -> Column:
@@ -179,18 +198,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def lattices(counts: DataFrame, pieces: Pieces) -> DataFrame:
-    """words, counts, edges: the lattices of all words of counts (word, count), by chunk."""
+    """word, count, size, edges: the lattices of all words of counts (word, count), each behind a space; size in bytes."""
     sent = counts.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for part in chunks([(w.encode("utf-8", "surrogatepass"), n) for w, n in own]):
-                edges = Chunk.of([b" " + w for w, _ in part], sent.value).packed()
-                names = pa.array([[w.decode("utf-8", "surrogatepass") for w, _ in part]], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([names, pa.array([[n for _, n in part]], pa.list_(pa.int64())), pa.array([edges], pa.binary())], ["words", "counts", "edges"])
+            own = [b" " + w.encode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()]
+            sizes, at = np.array([len(w) for w in own], np.int32), 0
+            while at < len(own):  # a few thousand words, or fewer very long ones
+                to = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), CELLS)) + at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(sizes[at:to]), edge_array(own[at:to], sent.value)], ["word", "count", "size", "edges"])
+                at = to
 
-    return counts.mapInArrow(run, "words array<string>, counts array<bigint>, edges binary")
+    return counts.mapInArrow(run, "word string, count long, size int, edges binary")
 
 
 def fit(spark: SparkSession, built: DataFrame, ends: int, pieces: Pieces, steps: int = STEPS) -> tuple[np.ndarray, float]:
@@ -202,8 +222,9 @@ def fit(spark: SparkSession, built: DataFrame, ends: int, pieces: Pieces, steps:
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             into, likely = np.zeros(size), 0.0
             for batch in batches:
-                for n, data in zip(batch.column(0), batch.column(1), strict=True):
-                    own, chunk = np.array(n.as_py(), float), Chunk.unpacked(data.as_py())
+                counts = batch.column(0).to_numpy().astype(float)
+                for chunk in chunks(batch.column(1).to_numpy(), batch.column(2)):
+                    own = counts[chunk.rows]
                     lp, share = chunk.forward(sent.value)
                     chunk.expected(share, own, into)
                     likely += float(np.where(own > 0, own * lp, 0.0).sum())
@@ -211,7 +232,7 @@ def fit(spark: SparkSession, built: DataFrame, ends: int, pieces: Pieces, steps:
             yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), -1], pa.int64()), pa.array([*into[some].tolist(), likely], pa.float64())], ["piece", "n"])
 
         # At most as many rows as the vocabulary has pieces.
-        got = built.select("counts", "edges").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        got = built.where("count > 0").select("count", "size", "edges").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         sent.unpersist()
         seen = np.zeros(size)
         for r in got:
@@ -244,10 +265,10 @@ def lexicon_of(built: DataFrame, logs: np.ndarray, total: int, kinds: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for names, n, data in zip(*(batch.column(i) for i in range(3)), strict=True):
-                own = np.array(n.as_py(), float)
-                lp = token_logs(Chunk.unpacked(data.as_py()).forward(sent.value)[0], own, total, kinds)
-                yield pa.RecordBatch.from_arrays([names.values, n.values, pa.array(lp)], ["word", "count", "lp"])
+            lp = np.empty(batch.num_rows)
+            for chunk in chunks(batch.column(2).to_numpy(), batch.column(3)):
+                lp[chunk.rows] = chunk.forward(sent.value)[0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(token_logs(lp, batch.column(1).to_numpy().astype(float), total, kinds))], ["word", "count", "lp"])
 
     return built.mapInArrow(run, "word string, count long, lp double")
 
