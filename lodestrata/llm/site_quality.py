@@ -84,6 +84,27 @@ def with_features(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest) + ", x array<double>")
 
 
+def first_rows(labelled: DataFrame, most: int) -> list:
+    """The first rows of labelled (x, label, o, id) by o, id and x, at most so many; equal rows all count.
+
+    How many there are by the leading 16 bits of o tells which of them are needed, so tasks send few others.
+    """
+    lead = F.shiftright("o", 48)
+    sizes = sorted((r["s"], r["n"]) for r in labelled.groupBy(lead.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect())
+    last, total = None, 0
+    for last, n in sizes:
+        total += n
+        if total >= most:
+            break
+    if last is None:
+        return []
+    kinds = labelled.where(lead <= last).groupBy("o", "id", "x", "label").agg(F.count(F.lit(1)).alias("n"))
+    found: list = []
+    for r in kinds.orderBy("o", "id", "x").limit(most).collect():
+        found += [r] * min(r["n"], most - len(found))
+    return found
+
+
 def held_out(id_: Column) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
@@ -152,8 +173,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     own = pick(docs, id=id_col, text=text_col, host=host_col, path=path_col)
     full = stored(with_features(own.select("id", "text", F.col("host").cast("string").alias("host"), F.col("path").cast("string").alias("path"))), "features")
     known = pick(labels, label_id=id_col, label=label_col).where("label_id is not null and label in (0, 1)").groupBy("label_id").agg(F.floor(F.avg("label")).alias("label"))
-    first = F.xxhash64("id")
-    sample = full.join(known, F.col("id") == F.col("label_id")).where(~held_out(F.col("id"))).select("x", "label", first.alias("o"), "id").orderBy("o", "id").limit(max_labelled).collect()
+    labelled = full.join(known, F.col("id") == F.col("label_id")).where(~held_out(F.col("id"))).select("x", "label", F.xxhash64("id").alias("o"), "id")
+    sample = first_rows(labelled, max_labelled)
     mean, scale, w = fit(np.array([r["x"] for r in sample], float).reshape(len(sample), -1) if sample else np.zeros((0, len(features("")))), np.array([float(r["label"]) for r in sample]))
 
     terms = [F.lit(float(w[i + 1])) * F.greatest(F.least((F.get("x", F.lit(i)) - F.lit(float(mean[i]))) / F.lit(float(scale[i])), F.lit(8.0)), F.lit(-8.0)) for i in range(len(mean))]

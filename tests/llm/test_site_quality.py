@@ -141,6 +141,19 @@ def test_sites_help_where_texts_tell_little(spark):
     assert len(got) > 700 and by_text < 0.8 and by_site > by_text + 0.1
 
 
+def test_first_rows_are_those_of_a_plain_sort(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    made_rows = [([float(rng.randint(0, 3))], rng.randint(0, 1), i) for i in range(600)] + [([1.0], 1, 7)] * 50 + [([2.0], 0, 8), ([0.0], 0, 8)] * 20
+    rows = spark.createDataFrame(made_rows, "x array<double>, label int, id long").select("x", "label", F.xxhash64("id").alias("o"), "id")
+    every = sorted((tuple(r) for r in rows.collect()), key=lambda r: (r[2], r[3], r[0]))
+    for most in (0, 1, 40, 300, 690, 5000):
+        got = [(r["x"], r["label"], r["o"], r["id"]) for r in site_quality.first_rows(rows, most)]
+        assert [(x, o, i) for x, _, o, i in got] == [(x, o, i) for x, _, o, i in every[:most]]
+    assert site_quality.first_rows(rows.limit(0), 10) == []
+
+
 def test_clashing_names(spark):
     docs, labels, _ = table(spark)
     other = docs.withColumns({"x": docs["text"], "p": docs["doc_id"], "_h": docs["text"], "label": docs["doc_id"], "a.b": docs["text"]})
