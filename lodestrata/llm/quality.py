@@ -141,7 +141,8 @@ def mcd(rows: DataFrame, few: bool, share: float = SHARE, steps: int = STEPS, le
 
     There are several starts: the median of each feature with its spread around it, the moments of all
     texts, and those of a few tenths of the texts by a hash. Every step takes the share of each group that
-    is nearest to the present estimate, and estimates anew from these, until no determinant changes; of a
+    is nearest to the present estimate, and estimates anew from these, until the determinant settles; starts
+    that have settled take no part in further steps. Of a
     group's starts the one with the smallest determinant counts. scale makes the median distance of all
     texts of a group what it would be for normal ones, and is never under 1, so a group that is tighter
     than the floors, or has constant features, rejects no more.
@@ -158,15 +159,20 @@ def mcd(rows: DataFrame, few: bool, share: float = SHARE, steps: int = STEPS, le
     first = first.withColumn("start", F.lit(0)).unionByName(rows.groupBy(*KEYS).agg(*moments).withColumn("start", F.lit(1)))
     part = rows.withColumn("start", F.pmod(F.xxhash64(*FEATURES), F.lit(10)).cast("int") + 2).where(F.col("start") < 2 + TENTHS)
     fits = whole(first.unionByName(part.groupBy(*keys).agg(*moments)))
+    settled = F.coalesce(F.abs(F.col("logdet") - F.col("was")) <= SETTLED, F.lit(True))
+    ended = []
     for _ in range(steps):
-        near = _beside(rows, fits, few).withColumn("d2", _distance()).select(*keys, *FEATURES, "d2")
-        cut = stored(near.groupBy(*keys).agg(F.percentile_approx("d2", F.lit(share), F.lit(2000)).alias("cut")), "cuts")
-        before, fits = fits.select(*keys, F.col("logdet").alias("was")), whole(_beside(near, cut, few, keys).where("d2 <= cut").groupBy(*keys).agg(*moments))
-        change = _beside(fits, before, few, keys).agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
-        if (change or 0.0) <= SETTLED:
+        near = _beside(rows, fits.withColumn("was", F.col("logdet")), few).withColumn("d2", _distance()).select(*keys, *FEATURES, "d2", "was")
+        cut = near.groupBy(*keys).agg(F.percentile_approx("d2", F.lit(share), F.lit(2000)).alias("cut"))
+        moved = whole(_beside(near, cut, few, keys).where("d2 <= cut").groupBy(*keys).agg(*moments, F.max("was").alias("was")))
+        ended.append(moved.where(settled).drop("was"))
+        fits = moved.where(~settled).drop("was")
+        if fits.isEmpty():
             break
-    best = fits.groupBy(*KEYS).agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
-    fits = stored(_beside(fits, best, few, keys).drop("start", "logdet"), "estimates")
+    fits = reduce(DataFrame.unionByName, [*ended, fits])
+    numbers = [c for c in fits.columns if c not in (*keys, "logdet")]
+    best = fits.groupBy(*KEYS).agg(F.min_by(F.struct(*numbers), F.struct("logdet", "start")).alias("best"))
+    fits = stored(best.select(*KEYS, "best.*"), "estimates")
     mid = _beside(rows, fits, few).groupBy(*KEYS).agg(F.percentile_approx(_distance(), F.lit(0.5), F.lit(2000)).alias("mid"), F.count(F.lit(1)).alias("n"))
     return _beside(fits, mid.select(*KEYS, "n", F.greatest(F.col("mid") / CHI_MEDIAN, F.lit(1.0)).alias("scale")), few)
 
@@ -179,7 +185,8 @@ def judge(stats: DataFrame, bound: float = CHI_BOUND, min_group: int = MIN_GROUP
     or that of all texts where the language has too few as well, or none: then it is kept.
     """
     full = stored(stats.withColumn("base_failed", base_failed()).withColumns(dict(zip(FEATURES, features(), strict=True))), "statistics")
-    good = full.where(~F.col("base_failed")).select("lang", "source", *FEATURES)
+    # The steps read the features many times: alone, they are a small part of the texts' table.
+    good = stored(full.where(~F.col("base_failed")).select("lang", "source", *FEATURES), "features")
     none = F.lit(None).cast("string")
     lang, source = F.col("lang").cast("string"), F.col("source").cast("string")
     levels = F.array(*[F.struct(F.lit(no).alias("level"), (lang if no < 2 else none).alias("g_lang"), (source if no < 1 else none).alias("g_source")) for no in range(3)])
