@@ -260,12 +260,13 @@ def verified_forest(nodes: np.ndarray, sets: list[np.ndarray], similarity: float
     if len(sets) < 2:
         return []
     sizes = np.array([len(x) for x in sets])
-    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    own = np.split(flat, np.cumsum(sizes)[:-1])
-    marked, open_, links = np.zeros(flat.max() + 1, bool), np.arange(len(sets)), []
+    every = np.unique(np.concatenate(sets))
+    own = [np.searchsorted(every, x).astype(np.int32) for x in sets]
+    marked, open_, links = np.zeros(len(every), bool), np.arange(len(sets)), []
+    del every
     while len(open_):
         queue, open_ = [open_[0]], open_[1:]
-        rest = np.concatenate([own[x] for x in open_]) if len(open_) else flat[:0]
+        rest = np.concatenate([own[x] for x in open_]) if len(open_) else own[0][:0]
         while queue and len(open_):
             q = queue.pop()
             marked[own[q]] = True
@@ -286,7 +287,7 @@ LEADS = 8
 #: Fingerprints of a dense bucket that are compared in one go with each other or with as many others.
 _PART = 2048
 #: Characters of a candidate group whose texts are verified in one go with each other or with as many others.
-_PART_CHARS = 16 << 20
+_PART_CHARS = 4 << 20
 
 
 def candidate_links(kinds: DataFrame, layout_: tuple[int, int, int, int], similarity: float, dense: int) -> DataFrame:
@@ -340,17 +341,18 @@ def candidate_links(kinds: DataFrame, layout_: tuple[int, int, int, int], simila
 def verified_links(own: DataFrame, roots: DataFrame, size: int, similarity: float, part_chars: int = _PART_CHARS) -> DataFrame:
     """a, b: links between texts of own (node, text) under the same root (node, root) that connect what all pairs of sets of at least the similarity connect."""
 
-    def connect(part: pd.DataFrame) -> pd.DataFrame:
-        sets = [shingles(x, size) for x in part["text"]]
+    def connect(part: pa.Table) -> pa.Table:
+        sets = [shingles(x.as_py(), size) for x in part["text"]]
         some = [k for k, x in enumerate(sets) if len(x)]
-        return pd.DataFrame(verified_forest(part["node"].to_numpy()[some], [sets[k] for k in some], similarity), columns=["a", "b"], dtype="int64")
+        links = verified_forest(part["node"].to_numpy()[some], [sets[k] for k in some], similarity)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     texts = own.join(roots, "node").select("root", "node", F.coalesce("text", F.lit("")).alias("text"))
     sums = own.select("node", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).join(roots, "node")
     parts = sums.groupBy("root").agg(F.greatest(F.ceil(F.sum("chars") / part_chars), F.lit(1)).cast("int").alias("parts"))
     each = texts.join(parts, "root").withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     each = each.select("root", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "text")
-    return each.groupBy("root", "i", "j").applyInPandas(connect, "a long, b long")
+    return each.groupBy("root", "i", "j").applyInArrow(connect, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, dense: int = WIDE_DENSE, part_chars: int = _PART_CHARS) -> DataFrame:
