@@ -303,23 +303,27 @@ def candidate_links(kinds: DataFrame, layout_: tuple[int, int, int, int], simila
     block = lambda k: F.shiftrightunsigned(F.get("f", F.lit(k // per)), bits * (k % per)).bitwiseAND(F.lit(mask)) + F.lit(k << bits)
     keys = F.concat(F.array(*[block(k) for k in range(words * per)]), F.col("keys"))
     entries = kinds.select("node", F.get("f", F.lit(0)).alias("s"), F.get("f", F.lit(1)).alias("t"), F.explode(keys).alias("key"))
+    entries = entries.where(F.col("key").isNotNull()).repartition("key")  # one shuffle, which the buckets and the join with them share
     buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "s", "t")).alias("lead")).where("n > 1")
-    crowd = stored(entries.join(buckets, "key"), "crowd")
     prints = kinds.select("node", "f")
 
     # The first 128 bits tell most of the unrelated ones apart; sets found by a shared shingle need no such test.
     def near(s: str, t: str) -> Column:
         return (F.bit_count(F.col("s").bitwiseXOR(F.col(s))) + F.bit_count(F.col("t").bitwiseXOR(F.col(t))) <= first) | (F.col("key") < 0)
 
+    other = (F.col("node") != F.col("lead.node")) & near("lead.s", "lead.t")
+    crowd = stored(entries.join(buckets, "key").select("key", "node", "s", "t", "n", F.when(other, F.col("lead.node")).alias("lead")), "crowd")
+
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(prints.select(F.col("node").alias("a"), F.col("f").alias("fa")), "a").join(prints.select(F.col("node").alias("b"), F.col("f").alias("fb")), "b")
         apart = sum(F.bit_count(F.get("fa", F.lit(i)).bitwiseXOR(F.get("fb", F.lit(i)))) for i in range(words))
         return both.where(apart <= distance).select("a", "b")
 
-    stars = crowd.where((F.col("node") != F.col("lead.node")) & near("lead.s", "lead.t")).groupBy(F.col("node").alias("b")).agg(F.array_sort(F.collect_set("lead.node")).alias("leads"))
+    stars = crowd.where(F.col("lead").isNotNull()).groupBy(F.col("node").alias("b")).agg(F.array_sort(F.collect_set("lead")).alias("leads"))
     stars = stored(verified(stars.select(F.explode(F.slice("leads", 1, LEADS)).alias("a"), "b")), "stars")
     joined = stored(components(stars), "joined")
     few = crowd.where(F.col("n") <= dense).join(joined, "node", "left").select("key", "node", "s", "t", F.coalesce("root", "node").alias("group"))
+    few = few.where(F.col("key").isNotNull()).repartition("key")  # shared by both sides
     other = few.select("key", F.col("node").alias("b"), F.col("s").alias("s2"), F.col("t").alias("t2"), F.col("group").alias("group2"))
     pairs = few.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("group") != F.col("group2")) & near("s2", "t2"))
     links = stars.unionAll(verified(pairs.select("a", "b").distinct()))
