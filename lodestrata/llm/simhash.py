@@ -303,7 +303,7 @@ def candidate_links(kinds: DataFrame, layout_: tuple[int, int, int, int], simila
     block = lambda k: F.shiftrightunsigned(F.get("f", F.lit(k // per)), bits * (k % per)).bitwiseAND(F.lit(mask)) + F.lit(k << bits)
     keys = F.concat(F.array(*[block(k) for k in range(words * per)]), F.col("keys"))
     entries = kinds.select("node", F.get("f", F.lit(0)).alias("s"), F.get("f", F.lit(1)).alias("t"), F.explode(keys).alias("key"))
-    entries = entries.where(F.col("key").isNotNull()).repartition("key")  # one shuffle, which the buckets and the join with them share
+    entries = entries.where(F.col("key").isNotNull() & F.col("node").isNotNull()).repartition("key")  # one shuffle, which the buckets and the joins share
     buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "s", "t")).alias("lead")).where("n > 1")
     prints = kinds.select("node", "f")
 
@@ -312,7 +312,13 @@ def candidate_links(kinds: DataFrame, layout_: tuple[int, int, int, int], simila
         return (F.bit_count(F.col("s").bitwiseXOR(F.col(s))) + F.bit_count(F.col("t").bitwiseXOR(F.col(t))) <= first) | (F.col("key") < 0)
 
     other = (F.col("node") != F.col("lead.node")) & near("lead.s", "lead.t")
-    crowd = stored(entries.join(buckets, "key").select("key", "node", "s", "t", "n", F.when(other, F.col("lead.node")).alias("lead")), "crowd")
+    sized = entries.join(buckets, "key").select("key", "node", "s", "t", "n", F.when(other, F.col("lead.node")).alias("lead"))
+    # Of a small bucket only those are written that another one there is near, as no other can be in a pair.
+    mates = entries.select(F.col("key").alias("key2"), F.col("node").alias("node2"), F.col("s").alias("s2"), F.col("t").alias("t2"))
+    mated = (F.col("key") == F.col("key2")) & (F.col("node") != F.col("node2")) & near("s2", "t2")
+    paired = sized.where(F.col("n") <= dense).join(mates, mated, "left_semi")
+    large = sized.where(F.col("n") > dense).withColumns({"s": F.lit(None).cast("bigint"), "t": F.lit(None).cast("bigint")})
+    crowd = stored(paired.unionAll(large), "crowd")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(prints.select(F.col("node").alias("a"), F.col("f").alias("fa")), "a").join(prints.select(F.col("node").alias("b"), F.col("f").alias("fb")), "b")

@@ -197,3 +197,35 @@ def test_all_pairs_at_the_threshold(spark):
     got = {r["id"]: r["component"] for r in simhash.similar_groups(df).collect()}
     missed = [i for i in want if got[i] != want[i]]
     assert all(got[i] in (i, want[i]) for i in want) and len(missed) <= 1
+
+
+def test_buckets_are_stored_without_those_that_nothing_is_near(spark, monkeypatch):
+    """Of small buckets only rows with a near one in the bucket are written, of large ones all; links connect all close pairs of a bucket."""
+    rng = random.Random(5)
+    prints = [[rng.getrandbits(64) for _ in range(2)] for _ in range(160)]
+    for i in range(0, 120, 3):  # in one small bucket, but unrelated
+        for j in (1, 2):
+            prints[i + j][0] = prints[i + j][0] >> 16 << 16 | prints[i][0] & 0xFFFF
+    for i in range(120, 140, 2):  # close pairs
+        prints[i + 1] = [prints[i][0] ^ 1 << rng.randrange(64), prints[i][1] ^ 1 << rng.randrange(64)]
+    for i in range(141, 160):  # one large bucket
+        prints[i][1] = prints[i][1] & (1 << 48) - 1 | prints[140][1] >> 48 << 48
+    first = simhash._reach(128, 0.1515)
+    apart = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(prints[a], prints[b], strict=True))
+    buckets = {}
+    for i, f in enumerate(prints):
+        for k in range(8):
+            buckets.setdefault((k, f[k // 4] >> 16 * (k % 4) & 0xFFFF), []).append(i)
+    shared = {k: b for k, b in buckets.items() if len(b) > 1}
+    want = {(v + (k << 16), i) for (k, v), b in shared.items() for i in b if len(b) > 16 or any(i != j and apart(i, j) <= first for j in b)}
+    assert 0 < len(want) < sum(map(len, shared.values())) - 60
+
+    tables, store = {}, simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, what: tables.setdefault(what, store(df, what)))
+    rows = [(i, [x - 2**64 if x >> 63 else x for x in f], []) for i, f in enumerate(prints)]
+    kinds = spark.createDataFrame(rows, "node long, f array<bigint>, keys array<bigint>")
+    links = [tuple(r) for r in simhash.candidate_links(kinds, (16, 4, 2, 30), 0.8, 16).collect()]
+    stored = [(r["key"], r["node"]) for r in tables["crowd"].collect()]
+    assert len(stored) == len(want) and set(stored) == want
+    near = [(a, b) for bucket in shared.values() for a, b in combinations(bucket, 2) if apart(a, b) <= 30]
+    assert len(near) >= 10 and groups(range(160), links) == groups(range(160), near)
