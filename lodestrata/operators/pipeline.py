@@ -62,12 +62,43 @@ def column(values: list, kind: str, tensor: bool) -> Column:
     return Column(valid, flat, offsets)
 
 
+def _from_arrow(values: pa.Array, kind: str, tensor: bool) -> Column:
+    """What column() makes, from an Arrow array; text and numbers are taken over as they lie in memory."""
+    if tensor:
+        return column(values.to_pylist(), kind, tensor)
+    valid = values.is_valid().to_numpy(zero_copy_only=False)
+    if kind != "string":
+        return Column(valid, values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.dtype(KINDS[kind])))
+    return Column(valid, *_text(values.cast(pa.large_binary()).fill_null(b"")))
+
+
+def _text(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a large binary array without nulls, and the offsets of its values."""
+    _, offsets, flat = values.buffers()
+    ends = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
+    return np.frombuffer(flat if flat is not None else b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def _to_arrow(c: Column, kind: pa.DataType) -> pa.Array:
+    """A column's values with their nulls, as an Arrow array."""
+    rows = c.rows()
+    if pa.types.is_list(kind):
+        return pa.array([list(v) if ok else None for v, ok in zip(rows, c.valid.tolist(), strict=True)], kind)
+    if c.offsets is None:
+        return pa.array(c.data, kind, mask=~c.valid, from_pandas=False)
+    return pa.array(rows, pa.binary(), mask=~c.valid).cast(kind)
+
+
 def _delta(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
 
 
 def _dictionary(c: Column) -> tuple[list, np.ndarray]:
     """Distinct valid values by first appearance, and each row's code; a null has code 0."""
+    if len(c.valid) and (c.data.dtype.kind in "iu" if c.offsets is None else c.data.dtype == np.uint8 and _whole(c)):
+        own = pa.array(c.data if c.offsets is None else c.rows(), pa.from_numpy_dtype(c.data.dtype) if c.offsets is None else pa.large_binary(), mask=~c.valid)
+        found = own.dictionary_encode()
+        return found.dictionary.to_pylist(), found.indices.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     seen: dict = {}
     rows = c.rows()
     codes = [seen.setdefault(v, len(seen)) if ok else 0 for v, ok in zip(rows, c.valid.tolist(), strict=True)]
@@ -226,31 +257,50 @@ def _kind(df: DataFrame, field: str) -> tuple[str, bool]:
 
 def encode(batched: DataFrame, field: str, names: list[str] | tuple[str, ...] = (), order: str = "_ordinal") -> DataFrame:
     """batch_id, field, n_rec, keys, data and log: a row for each batch of the column. keys: the order's values, by which rows come back."""
-    kind, tensor = _kind(batched, field)
-    names = list(names)
-    if not valid_order(names):
-        raise ValueError(f"{names} can't follow each other")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("k")
-        values = [None if v is None or v is pd.NA or isinstance(v, float) and v != v and kind not in ("float", "double") else v for v in part["v"].tolist()]
-        data, log = transform(column([v if ok else None for v, ok in zip(values, part["ok"].tolist(), strict=True)], kind, tensor), names)
-        return pd.DataFrame({"batch_id": [part["batch_id"].iloc[0]], "field": [field], "n_rec": [len(part)], "keys": [part["k"].tolist()], "data": [data], "log": [log]})
-
-    rows = batched.select(F.col("batch_id").cast("int").alias("batch_id"), F.col(order).cast("long").alias("k"), F.col(field).isNotNull().alias("ok"), F.coalesce(F.col(field), F.lit(0).cast(batched.schema[field].dataType) if not tensor and kind != "string" else F.col(field)).alias("v"))
-    return rows.groupBy("batch_id").applyInPandas(run, f"batch_id int, field string, n_rec bigint, keys array<bigint>, data binary, log {LOG}")
+    return encode_all(batched, {field: names}, order)
+
+
+def encode_all(batched: DataFrame, transforms: dict[str, list[str] | tuple[str, ...]], order: str = "_ordinal") -> DataFrame:
+    """encode() for several columns, each with its transforms; the rows of a batch meet once for all of them."""
+    steps = []
+    for field, names in transforms.items():
+        if not valid_order(list(names)):
+            raise ValueError(f"{list(names)} can't follow each other")
+        steps.append((field, *_kind(batched, field), list(names)))
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("k")
+        keys, rows = part.column("k").combine_chunks(), []
+        for i, (field, kind, tensor, names) in enumerate(steps):
+            values = part.column(f"v{i}").combine_chunks()
+            data, log = transform(_from_arrow(values, kind, tensor), names)
+            rows.append({"field": field, "data": data, "log": log})
+        n = len(rows)
+        every = {"batch_id": [part.column("batch_id")[0].as_py()] * n, "field": [r["field"] for r in rows], "n_rec": [len(keys)] * n}
+        held = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(keys), pa.int32()), pa.concat_arrays([keys] * n))
+        kinds = [pa.int32(), pa.string(), pa.int64()]
+        entry = pa.list_(pa.struct([("transform", pa.string()), ("u_sz", pa.int64()), ("c_sz", pa.int64()), ("md5", pa.string()), ("args", pa.string())]))
+        own = [pa.array(v, t) for v, t in zip(every.values(), kinds, strict=True)]
+        return pa.Table.from_arrays([*own, held, pa.array([r["data"] for r in rows], pa.binary()), pa.array([r["log"] for r in rows], entry)], ["batch_id", "field", "n_rec", "keys", "data", "log"])
+
+    rows = batched.select(F.col("batch_id").cast("int").alias("batch_id"), F.col(order).cast("long").alias("k"), *[F.col(f).alias(f"v{i}") for i, f in enumerate(transforms)])
+    return rows.groupBy("batch_id").applyInArrow(run, f"batch_id int, field string, n_rec bigint, keys array<bigint>, data binary, log {LOG}")
+
+
+def _restored(row: pa.RecordBatch | pa.Table, kind: pa.DataType) -> tuple[pa.Array, pa.Array]:
+    """The keys and the values of one of encode()'s rows."""
+    one = row.select(["data", "log"]).to_pylist()[0]
+    return row["keys"][0].values, _to_arrow(restore(one["data"], one["log"]), kind)
 
 
 def decode(blocks: DataFrame, field: str, kind: T.DataType, order: str = "_ordinal") -> DataFrame:
     """batch_id, order and field of encode()'s rows; kind is the field's Spark type."""
-    text = kind.simpleString() == "string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                c = restore(row["data"], row["log"])
-                values = [(v.decode("utf-8", "surrogatepass") if text else list(v) if isinstance(v, tuple) else v) if ok else None for v, ok in zip(c.rows(), c.valid.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([row["batch_id"]] * len(values), pa.int32()), pa.array(row["keys"], pa.int64()), pa.array(values, schema.field(2).type)], schema=schema)
+            for i in range(batch.num_rows):
+                keys, values = _restored(batch.slice(i, 1), schema.field(2).type)
+                yield pa.RecordBatch.from_arrays([pa.array([batch["batch_id"][i].as_py()] * len(keys), pa.int32()), keys.cast(pa.int64()), values], schema=schema)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -258,6 +308,32 @@ def decode(blocks: DataFrame, field: str, kind: T.DataType, order: str = "_ordin
     return blocks.select("batch_id", "keys", "data", "log").mapInArrow(run, T.StructType([T.StructField("batch_id", T.IntegerType()), T.StructField(order, T.LongType()), T.StructField(field, kind)]))
 
 
+def decode_all(blocks: DataFrame, kinds: dict[str, T.DataType], order: str = "_ordinal") -> DataFrame:
+    """batch_id, order and several fields of encode_all()'s rows, side by side where all of them have the order's value. The encoded batches meet, not their rows."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    schema = pa.schema([("batch_id", pa.int32()), (order, pa.int64()), *((f, to_arrow_type(t)) for f, t in kinds.items())])
+
+    def run(part: pa.Table) -> pa.Table:
+        at = {f: i for i, f in enumerate(part.column("field").to_pylist())}
+        if not all(f in at for f in kinds):
+            return schema.empty_table()
+        found = [_restored(part.slice(at[f], 1), schema.field(f).type) for f in kinds]
+        keys = [k.to_numpy() for k, _ in found]
+        values = [v for _, v in found]
+        if any(not np.array_equal(keys[0], k) for k in keys[1:]):
+            both = keys[0]
+            for k in keys[1:]:
+                both = np.intersect1d(both, k)
+            values = [v.take(pa.array(np.argsort(k, kind="stable")[np.searchsorted(np.sort(k), both)])) for k, v in zip(keys, values, strict=True)]
+            keys[0] = both
+        own = [pa.array(np.full(len(keys[0]), part.column("batch_id")[0].as_py(), np.int32)), pa.array(keys[0], pa.int64())]
+        return pa.Table.from_arrays([*own, *values], schema=schema)
+
+    told = T.StructType([T.StructField("batch_id", T.IntegerType()), T.StructField(order, T.LongType()), *(T.StructField(f, t) for f, t in kinds.items())])
+    return blocks.where(F.col("field").isin(list(kinds))).select("batch_id", "field", "keys", "data", "log").groupBy("batch_id").applyInArrow(run, told)
+
+
 def log_table(blocks: DataFrame) -> DataFrame:
     """batch_id, field, step, transform, u_sz, c_sz, md5: the logs, an entry a row."""
     return blocks.select("batch_id", "field", F.posexplode("log").alias("step", "e")).select("batch_id", "field", "step", "e.transform", "e.u_sz", "e.c_sz", "e.md5")

@@ -35,11 +35,17 @@ def write(batched: DataFrame, path: str, pattern: Column | None = None, dictiona
 
     pattern: each row's ordered field names; rows then carry a _schema_id. Without it every row has all
     columns. transforms: by field, what its encoded form goes through (none named: chosen by batch). An
-    empty table has empty tables.
+    empty table has empty tables. The rows are worked out once and stored; everything is made from that copy,
+    which goes in the end.
     """
     spark, transforms = batched.sparkSession, transforms or {}
     names = [c for c in batched.columns if c not in _OWN]
+    kinds = {f.name: f.dataType for f in batched.schema.fields}
     rows = batched.withColumn("pattern", pattern if pattern is not None else F.array(*[F.lit(c) for c in names]).cast("array<string>"))
+    staged = f"{path}/_rows"
+    rows.write.parquet(staged, compression="zstd")
+    rows = spark.read.schema(rows.schema).parquet(staged)
+    batched = rows.drop("pattern")
     schemas = schema.schema_ids(rows, F.col("pattern"), "_ordinal")
     schemas.write.parquet(f"{path}/schemas")
     known = spark.read.parquet(f"{path}/schemas").select("pattern", "schema_id")
@@ -52,16 +58,13 @@ def write(batched: DataFrame, path: str, pattern: Column | None = None, dictiona
     sums = batched.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rec"), F.min("_ordinal").alias("first"), F.max("_ordinal").alias("last"))
     sums.join(local, "batch_id", "left").withColumn("part", F.floor(F.col("batch_id") / part).cast("int")).write.parquet(f"{path}/batches")
 
-    kinds = {f.name: f.dataType for f in batched.schema.fields}
     layout = lambda c: "TENSOR" if isinstance(kinds[c], (T.ArrayType, T.StringType)) else "COLUMN"
     listed = [(i, c, kinds[c].simpleString(), layout(c), list(transforms.get(c, ()))) for i, c in enumerate(names)]
     spark.createDataFrame(listed, "field_id int, name string, ptype string, layout string, transforms array<string>").coalesce(1).write.parquet(f"{path}/fields")
 
     logs = None
-    for c, steps in transforms.items():
-        one = pipeline.encode(batched, c, steps)
-        one.write.mode("append").parquet(f"{path}/encoded")
     if transforms:
+        pipeline.encode_all(batched, transforms).sortWithinPartitions("field", "batch_id").write.parquet(f"{path}/encoded")
         e = F.col("log")
         logs = spark.read.parquet(f"{path}/encoded").select("batch_id", "field", e[0]["u_sz"].alias("u_sz"), F.octet_length("data").cast("bigint").alias("c_sz"), e[0]["md5"].alias("md5"))
     found = stats.column_stats(batched, names)
@@ -72,6 +75,8 @@ def write(batched: DataFrame, path: str, pattern: Column | None = None, dictiona
         own.select("batch_id", F.lit(c).alias("field"), "code", F.col(c).cast("string").alias("value")).write.mode("append").parquet(f"{path}/dictionaries")
     for c in blooms:
         bloom.build(batched, c, bloom_bits, ["batch_id"]).select("batch_id", F.lit(c).alias("field"), "block", *[f"w{i}" for i in range(8)]).write.mode("append").parquet(f"{path}/blooms")
+    at = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -151,10 +156,14 @@ def scan(spark: SparkSession, path: str, exact: Column | None = None, fields: li
     return rows if exact is None else rows.where(exact)
 
 
-def decoded(spark: SparkSession, path: str, field: str) -> DataFrame:
-    """batch_id, _ordinal and a field from its encoded form, checksums verified."""
-    kind = next(r["ptype"] for r in table(spark, path, "fields").where(F.col("name") == field).collect())
-    return pipeline.decode(table(spark, path, "encoded").where(F.col("field") == field), field, T._parse_datatype_string(kind))
+def decoded(spark: SparkSession, path: str, *fields: str) -> DataFrame:
+    """batch_id, _ordinal and fields from their encoded forms, checksums verified."""
+    listed = {r["name"]: r["ptype"] for r in table(spark, path, "fields").where(F.col("name").isin(list(fields))).collect()}
+    kinds = {f: T._parse_datatype_string(listed[f]) for f in fields}
+    blocks = table(spark, path, "encoded")
+    if len(fields) == 1:
+        return pipeline.decode(blocks.where(F.col("field") == fields[0]), fields[0], kinds[fields[0]])
+    return pipeline.decode_all(blocks, kinds)
 
 
 def describe(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,9 @@
+import os
 import random
 
 import pytest
 from lodestrata.functions import codecs, text
+from lodestrata.operators import pipeline
 from lodestrata.operators.batching import assign_batches
 from lodestrata.sources import archive, fastq, sam, vcf
 from lodestrata.sources import text as lines
@@ -164,3 +166,40 @@ def test_stream(spark, tmp_path):
         append.append_stream(stream, f"{tmp_path}/out", "id", ["v"], f"{tmp_path}/ckpt", size=4).awaitTermination()
     data, stats = append.read(spark, f"{tmp_path}/out")
     assert data.count() == 20 and stats.count() == 6
+
+
+def test_archive_works_its_rows_out_once(spark, tmp_path):
+    df = assign_batches(spark.createDataFrame([(i, i * 0.5, f"k{i % 3}") for i in range(60)], "id long, v double, s string"), "id", 8).localCheckpoint()
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    path = f"{tmp_path}/a"
+    pattern = F.when(F.col("id") % 2 == 0, F.array(F.lit("id"), F.lit("v"))).otherwise(F.array(F.lit("s"), F.lit("id")))
+    archive.write(df.mapInArrow(counted, df.schema), path, pattern=pattern, dictionaries=("s",), blooms=("id",), transforms={"s": (), "v": ("ZSTD",)})
+    assert seen.value == 60
+    assert sorted(os.listdir(path)) == ["batches", "blooms", "column_stats", "data", "dictionaries", "encoded", "fields", "schemas"]
+    assert {(r["batch_id"], tuple(r["fields"])) for r in archive.table(spark, path, "batches").collect()} == {(b, ("id", "v", "s")) for b in range(8)}
+
+
+def test_encoded_fields_come_back_side_by_side(spark, tmp_path):
+    rows = [(i, None if i % 5 == 0 else i, None if i % 7 == 0 else f"é{i % 3}", [i] * (i % 3) if i % 4 else None, -0.0 if i % 2 else float("nan")) for i in range(50)]
+    df = assign_batches(spark.createDataFrame(rows, "id long, n int, s string, t array<int>, d double"), "id", 8)
+    path = f"{tmp_path}/a"
+    archive.write(df, path, transforms={"s": ("RC_ILLUMINA_NAME",), "n": ("DELTA", "ZSTD"), "t": (), "d": ("ZSTD",)})
+    back = archive.decoded(spark, path, "s", "n", "t", "d")
+    assert "Join" not in back._jdf.queryExecution().executedPlan().toString()
+    told = lambda r: (*r[:5], str(r[5]))
+    assert sorted(map(told, back.collect())) == sorted(map(told, df.select("batch_id", "_ordinal", "s", "n", "t", "d").collect()), key=lambda r: r[:2])
+
+
+def test_decode_all_joins_by_key(spark):
+    schema = "batch_id int, _ordinal long, a long, b string"
+    one = spark.createDataFrame([(0, i, i * 10, None) for i in (1, 2, 3)] + [(1, 9, 9, None)], schema)
+    two = spark.createDataFrame([(0, i, None, f"x{i}") for i in (3, 2, 5)], schema)
+    blocks = pipeline.encode(one, "a").unionByName(pipeline.encode(two, "b"))
+    got = pipeline.decode_all(blocks, {"a": one.schema["a"].dataType, "b": two.schema["b"].dataType})
+    assert sorted(map(tuple, got.collect())) == [(0, 2, 20, "x2"), (0, 3, 30, "x3")]
