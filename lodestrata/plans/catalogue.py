@@ -261,9 +261,7 @@ def archive_describe(spark, sf_dir):
 
 
 def archive_decoded(spark, sf_dir):
-    path = _archive(spark, sf_dir)
-    one = archive.decoded(spark, path, "event_type").join(archive.decoded(spark, path, "user_id"), ["batch_id", "_ordinal"])
-    return one.join(archive.decoded(spark, path, "props"), ["batch_id", "_ordinal"])
+    return archive.decoded(spark, _archive(spark, sf_dir), "event_type", "user_id", "props")
 
 
 def archive_having(spark, sf_dir):
