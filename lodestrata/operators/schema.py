@@ -141,7 +141,9 @@ def rows_with(df: DataFrame, schemas: DataFrame, wanted: str, pattern: str = "pa
 
 def local_fields(batched: DataFrame, names: Column, order: str) -> DataFrame:
     """batch_id, field, local_id: each batch's own numbering of the fields that occur in it."""
-    each = batched.select("batch_id", order, F.posexplode(names).alias("slot", "field"))
+    # A batch's rows are reduced to its field sets first: a minimum of numbers needs no sort, one of structs does.
+    sets = batched.select("batch_id", F.col(order).alias("_at"), names.alias("_set")).groupBy("batch_id", "_set").agg(F.min("_at").alias(order))
+    each = sets.select("batch_id", order, F.posexplode("_set").alias("slot", "field"))
     return first_seen(each, ["field"], F.struct(order, "slot"), ["batch_id"], "local_id").select("batch_id", "field", "local_id")
 
 

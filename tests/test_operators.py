@@ -275,3 +275,11 @@ def test_automatic_choice():
     for n, kind, tensor, pays in [(20, "int", False, False), (19, "int", False, True), (30, "int", True, False), (29, "int", True, True)]:
         values = [[i % n] if tensor else i % n for i in range(100)]
         assert (pipeline.automatic(pipeline.column(values, kind, tensor)) == ["DICT", "ZSTD"]) is pays
+
+
+def test_local_fields_reduces_rows_to_field_sets(spark):
+    rows = spark.createDataFrame([(0, 5, ["a", "b"]), (0, 6, ["c", "a"]), (0, 7, ["a", "b"]), (1, 8, ["c"]), (1, 9, None), (1, 10, [])], "batch_id int, id long, names array<string>")
+    found = schema.local_fields(rows, F.col("names"), "id")
+    assert sorted(map(tuple, found.collect())) == [(0, "a", 0), (0, "b", 1), (0, "c", 2), (1, "c", 0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.rindex("Aggregate [")  # what is exploded has been reduced before
