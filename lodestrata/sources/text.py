@@ -16,12 +16,18 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     Lines are counted by file block first; a line's number is what the file's blocks before its own hold,
     and its place in the block. The blocks' counts are sent to every executor if they are few.
     """
+    return lines_in_blocks(spark, path)[0].select("path", "line_no", "value")
+
+
+def lines_in_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
+    """numbered_lines() with first and end, the numbers between which the lines of a line's file block lie (end not included), and whether a task still has its lines in their order."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_id"))
     blocks = lines.groupBy("path", "block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = blocks.select("path", "block", "_first", before.alias("_before"))
+    starts = blocks.select("path", "block", "_first", before.alias("first"), (before + F.col("_n")).alias("end"))
     few = starts.limit(MAX_BLOCKS + 1).count() <= MAX_BLOCKS
-    return lines.join(F.broadcast(starts) if few else starts, ["path", "block"]).select("path", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line_no"), "value")
+    numbered = lines.join(F.broadcast(starts) if few else starts, ["path", "block"])
+    return numbered.select("path", (F.col("first") + F.col("_id") - F.col("_first")).alias("line_no"), "value", "first", "end"), few
 
 
 #: The columns of tab-separated annotation formats.

@@ -203,3 +203,20 @@ def test_decode_all_joins_by_key(spark):
     blocks = pipeline.encode(one, "a").unionByName(pipeline.encode(two, "b"))
     got = pipeline.decode_all(blocks, {"a": one.schema["a"].dataType, "b": two.schema["b"].dataType})
     assert sorted(map(tuple, got.collect())) == [(0, 2, 20, "x2"), (0, 3, 30, "x3")]
+
+
+def test_fastq_records_across_file_blocks(spark, tmp_path):
+    text = "".join(f"@r{i} x\n{'ACGT' * (i % 5)}\n+\n{'I' * (4 * (i % 5))}\n" for i in range(300)) + "@cut\nAC"
+    (tmp_path / "a.fq").write_text(text)
+    (tmp_path / "b.fq").write_text("@only\nA\n+\nI\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        found = fastq.scan(spark, str(tmp_path))
+        got = sorted((r["path"][-4:], *r[1:]) for r in found.collect())
+        assert lines.lines_in_blocks(spark, str(tmp_path))[0].select("path", "first").distinct().count() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [("a.fq", i, f"r{i} x", "ACGT" * (i % 5), "I" * (4 * (i % 5))) for i in range(300)] + [("a.fq", 300, "cut", "AC", None), ("b.fq", 0, "only", "A", "I")]
+    own = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "MapInArrow" in line]
+    assert own, "whole records are put together without a shuffle"
