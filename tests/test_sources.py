@@ -1,6 +1,8 @@
+import json
 import os
 import random
 
+import numpy as np
 import pytest
 from lodestrata.functions import codecs, text
 from lodestrata.operators import pipeline
@@ -205,6 +207,17 @@ def test_decode_all_joins_by_key(spark):
     assert sorted(map(tuple, got.collect())) == [(0, 2, 20, "x2"), (0, 3, 30, "x3")]
 
 
+def test_blocks_of_values_are_bounded_in_bytes(spark):
+    sizes = [codecs.BLOCK_BYTES // 3] * 7 + [0] * 5000 + [codecs.BLOCK_BYTES * 2, 1, 2, 0, 0]
+    cuts = list(codecs._blocks(np.array(sizes)))
+    assert [a for a, _ in cuts] == [0, *(b for _, b in cuts[:-1])] and cuts[-1][1] == len(sizes)
+    assert all(b - a == 1 or b - a <= codecs.BLOCK and sum(sizes[a:b]) <= codecs.BLOCK_BYTES for a, b in cuts)
+    df = spark.createDataFrame([(i, None if i == 3 else "né" * (i * 20_000)) for i in range(12)], "doc_id long, v string").coalesce(1)
+    blocks = codecs.compress(df, "v", "ZSTD", "doc_id")
+    assert all(len(r["keys"]) == 1 or json.loads(r["log"])["u_sz"] <= codecs.BLOCK_BYTES for r in blocks.collect()) and blocks.count() > 3
+    assert sorted(map(tuple, codecs.decompress(blocks, "v", "doc_id").collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_fastq_records_across_file_blocks(spark, tmp_path):
     text = "".join(f"@r{i} x\n{'ACGT' * (i % 5)}\n+\n{'I' * (4 * (i % 5))}\n" for i in range(300)) + "@cut\nAC"
     (tmp_path / "a.fq").write_text(text)
